@@ -1,5 +1,6 @@
 """Next-hour risk: split, training, threshold choice, evaluation and batch scoring."""
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -52,14 +53,20 @@ def fit_classifier(
 ) -> PipelineModel:
     """Boosted trees on the model features; depth 5 allows the same 31 leaves and more."""
     shared_folder(train.sparkSession)  # boosting cuts its lineage there as it goes
-    return Pipeline(stages=[
+    stages = [
         VectorAssembler(inputCols=list(names), outputCol="model_features"),
         GBTClassifier(
             featuresCol="model_features", labelCol=label, maxIter=trees, stepSize=rate,
             maxDepth=depth, subsamplingRate=sampling, featureSubsetStrategy=str(sampling),
             seed=seed,
         ),
-    ]).fit(train)
+    ]
+    # Split finding and boosting read the rows several times; the windows behind them once.
+    rows = train.select(*names, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def model_inputs(model: PipelineModel) -> list[str]:
@@ -187,7 +194,7 @@ def best_threshold(
 
 
 def auc(scored: DataFrame, label="HIGH_ACTIVITY", probability="prediction_probability",
-        buckets=1000) -> DataFrame:
+        buckets=256) -> DataFrame:
     """Area under the ROC curve by ranks, ties counted half.
 
     Equal scores are merged first. Distinct scores are cut into ranges of like size by a
@@ -198,7 +205,9 @@ def auc(scored: DataFrame, label="HIGH_ACTIVITY", probability="prediction_probab
     )
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     splits = scores.agg(F.percentile_approx("_s", cuts, 10 * buckets).alias("_c")).scalar()
-    placed = scores.withColumn("_b", F.size(F.filter(splits, lambda c: c < F.col("_s"))))
+    placed = scores.withColumn("_cuts", splits).withColumn(
+        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))
+    )
     inside = W.partitionBy("_b").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_neg").over(inside), F.lit(0))
     ranges = placed.select("_b", "_pos", "_neg",
