@@ -51,13 +51,16 @@ def bucket_median(df: DataFrame, bucket, value: str, name: str) -> DataFrame:
     )
 
 
-def rolling_median(value: str, rows: int, spec) -> Column:
-    """Median of the last `rows` rows of an ordered window; NULL until it is full."""
-    frame = spec.rowsBetween(-(rows - 1), 0)
-    ordered = F.sort_array(F.collect_list(value).over(frame))
+def rolling_middle(value: str, rows: int, spec) -> Column:
+    """The last `rows` values of an ordered window, sorted; see `median_of_sorted`."""
+    return F.sort_array(F.collect_list(value).over(spec.rowsBetween(-(rows - 1), 0)))
+
+
+def median_of_sorted(ordered: Column, rows: int) -> Column:
+    """Median of a sorted array; NULL unless it holds `rows` values."""
     low, high = (rows + 1) // 2, rows // 2 + 1
     median = (F.element_at(ordered, low) + F.element_at(ordered, high)) / 2
-    return F.when(F.count(value).over(frame) == rows, median)
+    return F.when(F.size(ordered) == rows, median)
 
 
 def exact_percentile(
@@ -73,25 +76,27 @@ def exact_percentile(
     margin = 2.0 / accuracy
     values = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     edges = F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin)))
-    sketch = values.agg(F.struct(
-        F.count("_v").alias("n"),
-        F.min("_v").alias("least"),
-        F.max("_v").alias("most"),
+    sketch = values.agg(
+        F.count("_v").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"),
         F.percentile_approx("_v", edges, accuracy).alias("edge"),
-    ).alias("s")).scalar()
-    few = sketch.getField("n") <= small
-    low = F.when(few, sketch.getField("least")).otherwise(sketch.getField("edge")[0])
-    high = F.when(few, sketch.getField("most")).otherwise(sketch.getField("edge")[1])
+    )
+    few = F.col("n") <= small
+    bracket = sketch.select(F.struct(
+        "n",
+        F.when(few, F.col("least")).otherwise(F.col("edge")[0]).alias("low"),
+        F.when(few, F.col("most")).otherwise(F.col("edge")[1]).alias("high"),
+    ).alias("b")).scalar()
     counted = (
-        values.filter(F.col("_v") <= high)
-        .select(F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))
-        .groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+        values.withColumn("_b", bracket).filter(F.col("_v") <= F.col("_b.high"))
+        .select(F.col("_b.n").alias("_n"), F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v"))
+        .groupBy("_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
     running = W.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.select("_v", F.sum("_c").over(running).alias("_upto"))
-    place = (sketch.getField("n") - 1) * F.lit(share)
-    below = F.min(F.when(F.col("_upto") >= F.floor(place) + 1, F.col("_v")))
-    above = F.min(F.when(F.col("_upto") >= F.ceil(place) + 1, F.col("_v")))
-    picked = ranked.agg(below.alias("_a"), above.alias("_b"))
-    part = place - F.floor(place)
-    return picked.select((F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias(name))
+    ranked = counted.select("_n", "_v", F.sum("_c").over(running).alias("_upto"))
+    place = (F.col("_n") - 1) * F.lit(share)
+    picked = ranked.agg(
+        F.min(F.when(F.col("_upto") >= F.floor(place) + 1, F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_upto") >= F.ceil(place) + 1, F.col("_v"))).alias("_z"),
+        F.max(place - F.floor(place)).alias("_part"),
+    )
+    return picked.select((F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_part")).alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hourgrid import schema as S
 from hourgrid.functions import columns as C
-from hourgrid.functions.quantiles import rolling_median
+from hourgrid.functions.quantiles import median_of_sorted, rolling_middle
 from hourgrid.operators.clean import protect_features
 
 HOUR = 3600
@@ -20,29 +20,8 @@ def by_time():
     return W.partitionBy("grid_id").orderBy("timestamp")
 
 
-def previous_activity(value: str = X) -> Column:
-    return F.lag(value).over(by_time())
-
-
-def full_mean(rows: int, value: str = X) -> Column:
-    """Mean of the last `rows` rows; NULL until there are that many."""
-    frame = by_time().rowsBetween(-(rows - 1), 0)
-    return F.when(F.count(value).over(frame) == rows, F.avg(value).over(frame))
-
-
 def previous_row(hourly: DataFrame) -> DataFrame:
-    return hourly.withColumn("previous_activity", previous_activity())
-
-
-def rolling_means(hourly: DataFrame, sizes=(3, 6, 24)) -> DataFrame:
-    return hourly.withColumns({f"rolling_{n}h_activity": full_mean(n) for n in sizes})
-
-
-def rolling_baseline(hourly: DataFrame, rows: int = S.BASELINE_ROWS) -> DataFrame:
-    """Rolling median per grid and the threshold above which the next hour is high."""
-    return hourly.withColumn("baseline_activity", rolling_median(X, rows, by_time())).withColumn(
-        "high_activity_threshold", F.col("baseline_activity") * S.HIGH_MULTIPLIER
-    )
+    return hourly.withColumn("previous_activity", F.lag(X).over(by_time()))
 
 
 def relative_change(current: Column, previous: Column) -> Column:
@@ -58,62 +37,112 @@ def activity_change(hourly: DataFrame) -> DataFrame:
     })
 
 
+# A window expression is evaluated again for every place it is written in. So the
+# operators below first list what they need from the windows, each once under a private
+# name, and derive their columns from those names in a second projection.
+
+def _mean_parts(sizes) -> dict[str, Column]:
+    spec = by_time()
+    return {f"_mean{n}": F.avg(X).over(spec.rowsBetween(-(n - 1), 0)) for n in sizes}
+
+
+def _mean(n: int) -> Column:
+    return F.when(F.col("_row") >= n, F.col(f"_mean{n}"))
+
+
+def _row_part() -> dict[str, Column]:
+    return {"_row": F.row_number().over(by_time())}
+
+
+def _temporal_parts() -> dict[str, Column]:
+    return {**_mean_parts((3, 6, 24)), "_before": F.lag(X).over(by_time())}
+
+
 def _temporal() -> dict[str, Column]:
-    now, before = F.col(X), previous_activity()
+    now, before = F.col(X), F.col("_before")
     return {
         "current_activity": now,
         "previous_hour_activity": before,
-        "rolling_3h_activity": full_mean(3),
-        "rolling_6h_activity": full_mean(6),
-        "rolling_24h_activity": full_mean(24),
+        "rolling_3h_activity": _mean(3),
+        "rolling_6h_activity": _mean(6),
+        "rolling_24h_activity": _mean(24),
         "activity_change": now - before,
         "activity_change_pct": relative_change(now, before),
     }
 
 
+def _window_parts() -> dict[str, Column]:
+    spec = by_time()
+    recent = spec.rowsBetween(-(S.RECENT_ROWS - 1), 0)
+    past = spec.rowsBetween(-(S.RECENT_ROWS + S.BASELINE_ROWS - 1), -S.RECENT_ROWS)
+    return {
+        f"_mean{S.RECENT_ROWS}": F.avg(X).over(recent),
+        "_past_mean": F.avg(X).over(past),
+        "_active": F.count_if(F.col(X) > 0).over(recent),
+        "_most": F.max(X).over(recent),
+        "_spread": F.stddev_pop(X).over(recent),
+        "_internet": F.sum("internet_activity").over(recent),
+        "_total": F.sum(X).over(recent),
+    }
+
+
 def _windowed() -> dict[str, Column]:
-    recent = by_time().rowsBetween(-(S.RECENT_ROWS - 1), 0)
-    past = by_time().rowsBetween(-(S.RECENT_ROWS + S.BASELINE_ROWS - 1), -S.RECENT_ROWS)
-    mean, past_mean = F.avg(X).over(recent), F.avg(X).over(past)
+    mean, past_mean = F.col(f"_mean{S.RECENT_ROWS}"), F.col("_past_mean")
     return {
         "avg_activity": mean,
         "activity_growth": C.safe_ratio(mean - past_mean, past_mean),
-        "active_hours": F.count_if(F.col(X) > 0).over(recent),
-        "peak_ratio": C.safe_ratio(F.max(X).over(recent), mean),
-        "variability": F.stddev_pop(X).over(recent),
-        "internet_share": C.safe_ratio(
-            F.sum("internet_activity").over(recent), F.sum(X).over(recent)
-        ),
+        "active_hours": F.col("_active"),
+        "peak_ratio": C.safe_ratio(F.col("_most"), mean),
+        "variability": F.col("_spread"),
+        "internet_share": C.safe_ratio(F.col("_internet"), F.col("_total")),
     }
 
 
-def temporal_features(hourly: DataFrame) -> DataFrame:
-    """Current, previous and rolling values known at each feature time."""
-    return hourly.select(
+def _derived(hourly: DataFrame, parts: dict, columns: dict, min_row=1) -> DataFrame:
+    """Key columns and `columns`, from `parts` of one pass over each grid's series."""
+    passed = hourly.select(*S.KEYS, X, *[c.alias(n) for n, c in {**_row_part(), **parts}.items()])
+    return passed.filter(F.col("_row") >= min_row).select(
         "grid_id", F.col("timestamp").alias("feature_timestamp"),
-        *[c.alias(n) for n, c in _temporal().items()],
+        *[c.alias(n) for n, c in columns.items()],
     )
 
 
-def _with_history(hourly: DataFrame, extra: dict[str, Column]) -> DataFrame:
-    need = S.RECENT_ROWS + S.BASELINE_ROWS
-    named = {**_windowed(), **extra}
-    rows = hourly.select(
-        "grid_id", F.col("timestamp").alias("feature_timestamp"),
-        F.row_number().over(by_time()).alias("_row"),
-        *[c.alias(n) for n, c in named.items()],
-    ).filter(F.col("_row") >= need).drop("_row")
-    return protect_features(rows, S.WINDOW_FEATURES)
+def rolling_means(hourly: DataFrame, sizes=(3, 6, 24)) -> DataFrame:
+    """Means of the last rows; NULL until there are that many."""
+    marked = hourly.withColumns({**_row_part(), **_mean_parts(sizes)})
+    return marked.withColumns({f"rolling_{n}h_activity": _mean(n) for n in sizes}).drop(
+        "_row", *[f"_mean{n}" for n in sizes]
+    )
+
+
+def rolling_baseline(hourly: DataFrame, rows: int = S.BASELINE_ROWS) -> DataFrame:
+    """Rolling median per grid and the threshold above which the next hour is high."""
+    return (
+        hourly.withColumn("_sorted", rolling_middle(X, rows, by_time()))
+        .withColumn("baseline_activity", median_of_sorted(F.col("_sorted"), rows)).drop("_sorted")
+        .withColumn("high_activity_threshold", F.col("baseline_activity") * S.HIGH_MULTIPLIER)
+    )
+
+
+def temporal_features(hourly: DataFrame) -> DataFrame:
+    """Current, previous and rolling values known at each feature time."""
+    return _derived(hourly, _temporal_parts(), _temporal())
+
+
+HISTORY = S.RECENT_ROWS + S.BASELINE_ROWS
 
 
 def feature_windows(hourly: DataFrame) -> DataFrame:
     """Last 24 rows against the 24 before them; from the 48th row of a grid on."""
-    return _with_history(hourly, {})
+    rows = _derived(hourly, _window_parts(), _windowed(), HISTORY)
+    return protect_features(rows, S.WINDOW_FEATURES)
 
 
 def feature_table(hourly: DataFrame) -> DataFrame:
     """Window and temporal features together, from a single pass over the series."""
-    return _with_history(hourly, _temporal())
+    parts = {**_temporal_parts(), **_window_parts()}
+    rows = _derived(hourly, parts, {**_windowed(), **_temporal()}, HISTORY)
+    return protect_features(rows, S.WINDOW_FEATURES)
 
 
 def feature_table_with_label(hourly: DataFrame) -> DataFrame:
@@ -122,16 +151,22 @@ def feature_table_with_label(hourly: DataFrame) -> DataFrame:
     Hours are unique per grid, so the row at t+1h, if there is one, is the next row.
     Rows without that hour or without a full rolling median are dropped.
     """
-    next_time = F.lead("timestamp").over(by_time())
-    exact = next_time == F.col("timestamp") + F.expr("INTERVAL 1 HOUR")
-    rows = _with_history(hourly, {
-        **_temporal(),
-        "future_total_activity": F.when(exact, F.lead(X).over(by_time())),
-        "baseline_activity": rolling_median(X, S.BASELINE_ROWS, by_time()),
-    })
-    return _labelled(rows.withColumn(
-        "high_activity_threshold", F.col("baseline_activity") * S.HIGH_MULTIPLIER
-    ))
+    spec = by_time()
+    parts = {
+        **_temporal_parts(), **_window_parts(),
+        "_next_time": F.lead("timestamp").over(spec),
+        "_next": F.lead(X).over(spec),
+        "_sorted": rolling_middle(X, S.BASELINE_ROWS, spec),
+    }
+    exact = F.col("_next_time") == F.col("timestamp") + F.expr("INTERVAL 1 HOUR")
+    baseline = median_of_sorted(F.col("_sorted"), S.BASELINE_ROWS)
+    rows = _derived(hourly, parts, {
+        **_windowed(), **_temporal(),
+        "future_total_activity": F.when(exact, F.col("_next")),
+        "baseline_activity": baseline,
+        "high_activity_threshold": baseline * S.HIGH_MULTIPLIER,
+    }, HISTORY)
+    return _labelled(protect_features(rows, S.WINDOW_FEATURES))
 
 
 def _labelled(rows: DataFrame) -> DataFrame:
@@ -171,19 +206,17 @@ def hour_range_features(hourly: DataFrame) -> DataFrame:
     def over_hours(first, last):
         return by_second.rangeBetween(-first * HOUR, -last * HOUR)
 
-    before = F.coalesce(F.max(X).over(over_hours(1, 1)), F.lit(0.0))
-    return hourly.select(
+    rows = hourly.select(
         "grid_id", F.col("timestamp").alias("feature_timestamp"),
         F.col(X).alias("current_activity"),
-        before.alias("previous_hour_activity"),
+        F.max(X).over(over_hours(1, 1)).alias("_before"),
         F.avg(X).over(over_hours(2, 0)).alias("rolling_3h_activity"),
         F.avg(X).over(over_hours(5, 0)).alias("rolling_6h_activity"),
-    ).withColumns({
-        "activity_change": F.col("current_activity") - F.col("previous_hour_activity"),
-        "activity_change_pct": C.safe_ratio(
-            F.col("current_activity") - F.col("previous_hour_activity"),
-            F.col("previous_hour_activity"),
-        ),
+    ).withColumn("previous_hour_activity", F.coalesce("_before", F.lit(0.0))).drop("_before")
+    change = F.col("current_activity") - F.col("previous_hour_activity")
+    return rows.withColumns({
+        "activity_change": change,
+        "activity_change_pct": C.safe_ratio(change, F.col("previous_hour_activity")),
     })
 
 

@@ -6,12 +6,23 @@ from hourgrid import schema as S
 from hourgrid.functions.columns import require_columns
 
 
+def _empty_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """Files of length zero, which Spark's readers leave out of their listing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(f"{folder}/{pattern}")
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in system.globStatus(place) or [] if s.isFile() and s.getLen() == 0]
+    rows = [(p.getName(), p.toString(), 0) for p in found]
+    return spark.createDataFrame(rows, "filename string, path string, length long")
+
+
 def discover_files(spark: SparkSession, folder: str, pattern: str = S.FILE_PATTERN) -> DataFrame:
     """Name, path and length of the files that match; contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return found.select(
+    named = found.select(
         F.element_at(F.split("path", "/"), -1).alias("filename"), "path", "length"
-    ).orderBy("filename")
+    )
+    return named.unionByName(_empty_files(spark, folder, pattern)).orderBy("filename")
 
 
 def read_activity(spark: SparkSession, path, pattern: str | None = S.FILE_PATTERN) -> DataFrame:
