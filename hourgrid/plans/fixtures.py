@@ -200,8 +200,6 @@ class Workspace:
 
     @cached_property
     def as_of(self):
-        return self.fact.agg(F.max("event_time").alias("as_of")).scalar()
-
-    @cached_property
-    def feature_hour(self):
-        return self.features.agg(F.max("feature_timestamp").alias("as_of")).scalar()
+        """Latest hour of the activity, from the raw times alone."""
+        last = F.date_trunc("hour", F.max("timestamp"))
+        return self.parsed.agg(last.alias("as_of")).scalar()

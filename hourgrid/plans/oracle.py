@@ -17,8 +17,9 @@ def D(x: str) -> str:
 
 
 def R(x: str) -> str:
-    """Rounded, without a negative zero."""
-    return f"(CASE WHEN abs({x}) < 0.0000005 THEN 0.0::DOUBLE ELSE round(({x})::DOUBLE, 6) END)"
+    """Rounded like the registered results, without a negative zero."""
+    return (f"(CASE WHEN abs({x}) < 0.0000005 THEN 0.0::DOUBLE "
+            f"ELSE round(({x})::DOUBLE + 0.000000001::DOUBLE, 6) END)")
 
 
 def rounded(*names: str, prefix="") -> str:

@@ -15,7 +15,6 @@ _POINT = f"""{R('sms_count')} AS sms_activity, {R('call_count')} AS call_activit
     {R('internet_volume')} AS internet_activity, {R('total')} AS total_activity"""
 _RISK = f"{R('r.risk_score')} AS risk_score, r.risk_level, r.model_version"
 _AT = "(SELECT as_of FROM latest)"
-_FEATURE_HOUR = "(SELECT max(feature_timestamp) FROM wfeat)"
 _TIMELINE = f"""SELECT f.*, r.risk_score, r.risk_level, r.model_version FROM (SELECT *, row_number() OVER
     (PARTITION BY grid_id ORDER BY event_time DESC) AS newest FROM fact) f
     LEFT JOIN risk r ON r.grid_id = f.grid_id AND r.timestamp = f.event_time WHERE f.newest <= 24"""
@@ -147,13 +146,13 @@ QUERIES = {
               grid_id DESC, rule LIMIT 100) a
             LEFT JOIN risk r ON r.grid_id = a.grid_id AND r.timestamp = a.timestamp"""),
     "top_movers": (
-        lambda ws: V.top_movers(ws.features, ws.risk, ws.scores, ws.feature_hour),
+        lambda ws: V.top_movers(ws.features, ws.risk, ws.scores, ws.as_of),
         f"""SELECT m.grid_id, {T('m.feature_timestamp')} AS timestamp, {R('m.avg_activity')} AS avg_activity,
             {R('m.activity_growth')} AS activity_growth, {R('m.fl')} AS activity_floor, {_RISK},
             {R('a.anomaly_score')} AS anomaly_score, a.anomaly_direction
             FROM (SELECT * FROM (SELECT *, (SELECT quantile_cont(avg_activity, 0.1) FROM wfeat
-                    WHERE feature_timestamp = {_FEATURE_HOUR}) AS fl
-                  FROM wfeat WHERE feature_timestamp = {_FEATURE_HOUR}) x
+                    WHERE feature_timestamp = {_AT}) AS fl
+                  FROM wfeat WHERE feature_timestamp = {_AT}) x
                   WHERE avg_activity >= fl ORDER BY activity_growth DESC, grid_id LIMIT 10) m
             LEFT JOIN risk r ON r.grid_id = m.grid_id AND r.timestamp = m.feature_timestamp
             LEFT JOIN anomalies a ON a.grid_id = m.grid_id AND a.timestamp = m.feature_timestamp"""),

@@ -181,6 +181,25 @@ def test_upsert_touches_only_its_dates(spark, tmp_path):
     assert [(r["date"], r["rows"]) for r in listed] == [("2024-01-01", 3), ("2024-01-02", 1)]
 
 
+def test_large_date_is_split(spark, tmp_path):
+    """One date with nearly all rows goes to several files; the rebalance hint splits it."""
+    rows = spark.range(400_000).select(
+        F.xxhash64("id").cast("string").alias("grid_id"),
+        F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("timestamp"),
+        F.when(F.col("id") > 100, F.lit("2024-01-01")).otherwise("2024-01-02").cast("date").alias("date"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1m")
+    try:
+        sinks.write_by_date(rows, str(tmp_path / "t"))
+    finally:
+        spark.conf.set(key, before)
+    listed = files.partition_values(spark.read.parquet(str(tmp_path / "t"))).collect()
+    found = {r["date"]: (r["files"], r["rows"]) for r in listed}
+    assert found["2024-01-01"][0] > 1 and found["2024-01-01"][1] == 399_899
+    assert found["2024-01-02"] == (1, 101)
+
+
 def test_tables_reports_and_round_trip(spark, tmp_path, hourly):
     df = hourly(("1", "2024-01-01 00:00:00", range(30)))
     path = str(tmp_path / "t")
