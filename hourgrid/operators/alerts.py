@@ -1,5 +1,7 @@
 """Rule alerts against within-day leave-one-out medians."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hourgrid import schema as S
@@ -35,8 +37,8 @@ def day_baseline(hourly: DataFrame) -> DataFrame:
     return leave_one_out_median(hourly, ["grid_id", "date"], X, "baseline_activity")
 
 
-def _number(value: Column | float) -> Column:
-    return F.format_string("%.2f", value if isinstance(value, Column) else F.lit(value))
+def _number(value: Column) -> Column:
+    return F.format_string("%.2f", value)
 
 
 def rule_alerts(hourly: DataFrame, floor: Column | float | None = None) -> DataFrame:
@@ -47,41 +49,36 @@ def rule_alerts(hourly: DataFrame, floor: Column | float | None = None) -> DataF
     """
     scored = day_baseline(above_floor_rows(previous_row(hourly), floor))
     current, before, base = F.col(X), F.col("previous_activity"), F.col("baseline_activity")
-    times = {
-        "HIGH_ACTIVITY": _number(S.HIGH_MULTIPLIER),
-        "ACTIVITY_SPIKE": _number(S.SPIKE_MULTIPLIER),
-        "ACTIVITY_DROP": _number(S.DROP_MULTIPLIER),
-    }
     fires = {
         "HIGH_ACTIVITY": current >= base * S.HIGH_MULTIPLIER,
         "ACTIVITY_SPIKE": (before > 0) & (current >= before * S.SPIKE_MULTIPLIER),
         "ACTIVITY_DROP": current <= base * S.DROP_MULTIPLIER,
     }
-    reasons = {
+    fired = F.array_compact(F.array(*[F.when(fires[t], F.lit(t)) for t in S.ALERT_TYPES]))
+    # The text is made after the rows that fire nothing are gone, and only if it is read.
+    return (
+        scored.filter(F.col("above_activity_floor") & base.isNotNull())
+        .select(*S.KEYS, current.alias("current_activity"), base, "previous_activity",
+                F.explode(fired).alias("alert_type"))
+        .select(*S.KEYS, "alert_type", "current_activity", "baseline_activity",
+                _reason().alias("reason"))
+    )
+
+
+def _reason() -> Column:
+    now, before, base = (_number(F.col(c)) for c in
+                         ("current_activity", "previous_activity", "baseline_activity"))
+    baseline = F.concat(F.lit("x the within-day baseline "), base, F.lit("."))
+    texts = {
         "HIGH_ACTIVITY": F.concat(
-            F.lit("Current activity "), _number(current), F.lit(" is at least "),
-            times["HIGH_ACTIVITY"], F.lit("x the within-day baseline "), _number(base), F.lit("."),
-        ),
+            F.lit("Current activity "), now, F.lit(f" is at least {S.HIGH_MULTIPLIER:.2f}"), baseline),
         "ACTIVITY_SPIKE": F.concat(
-            F.lit("Activity increased from "), _number(before), F.lit(" to "), _number(current),
-            F.lit(", at least "), times["ACTIVITY_SPIKE"], F.lit("x the previous hour."),
-        ),
+            F.lit("Activity increased from "), before, F.lit(" to "), now,
+            F.lit(f", at least {S.SPIKE_MULTIPLIER:.2f}x the previous hour.")),
         "ACTIVITY_DROP": F.concat(
-            F.lit("Current activity "), _number(current), F.lit(" is at or below "),
-            times["ACTIVITY_DROP"], F.lit("x the within-day baseline "), _number(base), F.lit("."),
-        ),
+            F.lit("Current activity "), now, F.lit(f" is at or below {S.DROP_MULTIPLIER:.2f}"), baseline),
     }
-    fired = F.array(*[
-        F.when(fires[t], F.struct(F.lit(t).alias("alert_type"), reasons[t].alias("reason")))
-        for t in S.ALERT_TYPES
-    ])
-    return (
-        scored.filter(F.col("above_activity_floor") & base.isNotNull())
-        .select(*S.KEYS, current.alias("current_activity"), base,
-                F.explode(F.array_compact(fired)).alias("_alert"))
-        .select(*S.KEYS, "_alert.alert_type", "current_activity", "baseline_activity",
-                "_alert.reason")
-    )
+    return reduce(lambda acc, kv: acc.when(F.col("alert_type") == kv[0], kv[1]), texts.items(), F)
 
 
 def alert_keys(alerts: DataFrame) -> DataFrame:

@@ -176,8 +176,9 @@ def test_hotspot_severity_applies_after_the_limit(spark, hourly):
     assert [r["grid_id"] for r in serving.hotspots(fact, none, limit=2).orderBy(F.desc("total_activity")).collect()] == ["4", "3"]
     assert serving.hotspots(fact, none, limit=2, severity="low").count() == 0
     assert serving.hotspots(fact, none, limit=9, severity="low").first()["grid_id"] == "0"
-    with pytest.raises(ValueError):
-        serving.hotspots(fact, none, severity="severe")
+    for wrong in ({"severity": "severe"}, {"limit": 0}, {"limit": 10_001}):
+        with pytest.raises(ValueError):
+            serving.hotspots(fact, none, **wrong)
 
 
 def test_alert_listing_orders(spark):
