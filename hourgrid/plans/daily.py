@@ -21,13 +21,16 @@ from hourgrid.sources import files, sinks
 log = logging.getLogger("hourgrid.daily")
 
 
-def _stored(spark: SparkSession, df: DataFrame, path: str, by_date=False) -> DataFrame:
-    if by_date:
-        sinks.write_by_date(df, path)
+def _stored(spark: SparkSession, df: DataFrame, path: str, time=None) -> DataFrame:
+    """The frame as read back from `path`; by date of the column `time`, if one is named."""
+    if time:
+        df = df.withColumn("date", F.to_date(time))
+        sinks.write_by_date(df, path, sort=("grid_id", time))
     else:
         sinks.write_table(df, path)
     log.info("written %s", path)
-    return spark.read.parquet(path)
+    # The schema is given, as a table without any rows by date has no file to tell it.
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def process_files(spark: SparkSession, source: str, processed: str) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +40,7 @@ def process_files(spark: SparkSession, source: str, processed: str) -> tuple[Dat
     nulls = profile.null_profile(parsed, S.MEASURES).select("null_total").scalar()
     counts = clean.reject_counts(parsed).withColumn("nulls_handled", nulls)
     counted = _stored(spark, counts, f"{processed}/run_counts")
-    activity = _stored(spark, clean.clean_activity(raw), f"{processed}/activity", by_date=True)
+    activity = _stored(spark, clean.clean_activity(raw), f"{processed}/activity", "timestamp")
     return activity, counted
 
 
@@ -47,12 +50,12 @@ def build_analytics(
     """Hourly summary, dashboard, warehouse, features, anomalies and alerts, as stored."""
     hourly = _stored(
         spark, aggregate.geometry_free(aggregate.hourly_grid(activity)),
-        f"{analytics}/hourly_grid_summary", by_date=True,
+        f"{analytics}/hourly_grid_summary", "timestamp",
     )
     tables = {"hourly_grid_summary": hourly}
 
-    def store(name, df):
-        tables[name] = _stored(spark, df, f"{analytics}/{name}")
+    def store(name, df, time=None):
+        tables[name] = _stored(spark, df, f"{analytics}/{name}", time)
 
     sinks.write_report(
         aggregate.dashboard_totals(hourly), f"{analytics}/dashboard_summary", single_file=True
@@ -60,15 +63,15 @@ def build_analytics(
     centroids = None
     if lookup is not None:
         centroids = geo.centroids_by_box(lookup)
-        store("grid_activity_geo", geo.enriched(geo.attach_geometry(hourly, lookup)))
+        store("grid_activity_geo", geo.enriched(geo.attach_geometry(hourly, lookup)), "timestamp")
     source = warehouse.warehouse_source(hourly)
     store("dim_time", warehouse.dim_time(source))
     store("dim_grid", warehouse.dim_grid(source, centroids))
     store("fact_network_activity",
-          warehouse.fact_activity(source, tables["dim_time"], tables["dim_grid"]))
-    store("network_feature_table", series.feature_table(hourly))
-    store("network_anomaly_scores", anomaly.anomaly_scores(hourly))
-    store("network_alerts", alerts.rule_alerts(hourly))
+          warehouse.fact_activity(source, tables["dim_time"], tables["dim_grid"]), "event_time")
+    store("network_feature_table", series.feature_table(hourly), "feature_timestamp")
+    store("network_anomaly_scores", anomaly.anomaly_scores(hourly), "timestamp")
+    store("network_alerts", alerts.rule_alerts(hourly), "timestamp")
     return tables
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourgrid import schema as S
-from hourgrid.operators import aggregate, clean, gates, geo, runs
+from hourgrid.operators import aggregate, clean, gates, geo, runs, serving
 from hourgrid.plans import daily
 from hourgrid.session import shared_folder
 from hourgrid.sources import files, sinks
@@ -270,6 +270,18 @@ def test_daily_job(spark, tmp_path):
     assert spark.read.parquet(f"{out}/dim_grid").filter("geometry_reference IS NULL").count() == 0
     assert spark.read.parquet(f"{out}/grid_activity_geo").filter("geometry IS NULL").count() == 0
 
+    fact = spark.read.parquet(f"{out}/fact_network_activity")
+    odd = spark.read.parquet(f"{out}/network_anomaly_scores")
+    risk = odd.select("grid_id", "timestamp", "date", F.lit(0.5).alias("risk_score"),
+                      F.lit("ATTENTION").alias("risk_level"), F.lit("v").alias("model_version"))
+    top = serving.hotspots(fact, risk, "2013-11-02 05:00:00", limit=5)
+    assert {(r["grid_id"], r["total_activity"], r["risk_level"]) for r in top.collect()} == {
+        ("1", 94.0, "ATTENTION"), ("2", 96.0, "ATTENTION")}
+    plan = top.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(date") == 2  # facts and scores of one date
+    assert serving.grid_drilldown(fact, 2, "2013-11-02 05:00:00").count() == 24
+    assert serving.network_summary(fact).first()["active_grids"] == 2
+
 
 def test_strict_policies(spark):
     raw = spark.createDataFrame(
