@@ -1,11 +1,18 @@
 """The registered queries of this subpackage and their SQL."""
 
-from hourgrid.llm import decontaminate
+from hourgrid.llm import decontaminate, mixing, secrets, tokens, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op6_token_counts": tokens.op6_token_counts,
+    "op7_url_filters": urls.op7_url_filters,
+    "op9_source_mix": mixing.op9_source_mix,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
+    "op7_url_filters": urls.ORACLE_SQL,
+    "op9_source_mix": mixing.ORACLE_SQL,
+    "op10_secret_scan": secrets.ORACLE_SQL,
 }
