@@ -135,8 +135,8 @@ parts AS (SELECT doc_id, k, kind, string_split_regex(coalesce(text, ''), pattern
                  regexp_extract_all(coalesce(text, ''), pattern) AS hits FROM documents, kinds),
 numbered AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM parts),
 placed AS (SELECT doc_id, k, kind, hits[i] AS hit, length(hits[i]) AS n,
-                  CAST(coalesce(list_sum(list_transform(gaps[1:i], x -> length(x))), 0)
-                       + coalesce(list_sum(list_transform(hits[1:i - 1], x -> length(x))), 0) AS BIGINT) AS a FROM numbered),
+                  CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+                       + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM numbered),
 spans AS (SELECT doc_id, k, kind, a, a + n AS b, hit FROM placed
           WHERE (k <> 0 OR length(regexp_replace(hit, {_quoted(ASSIGN_HEAD)}, '')) >= {ASSIGN_LEAST})
             AND (k <> 4 OR (regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')))),
