@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from hourgrid.llm import decontaminate, mixing, secrets, tokens, urls
+from hourgrid.llm import decontaminate, langid, mixing, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op4_language_id": langid.op4_language_id,
+    "op5_quality": quality.op5_quality,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_url_filters": urls.op7_url_filters,
     "op9_source_mix": mixing.op9_source_mix,

@@ -134,7 +134,7 @@ def hash_runs(hashes: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     total = np.zeros(n, dtype=np.uint64)
     for k in range(width):
-        total += mix(hashes[k:k + n] + _U(k + 1) * _ODD)
+        total += mix(hashes[k:k + n] + _U((k + 1) * int(_ODD) % (1 << 64)))
     return mix(total)
 
 
