@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from hourgrid.llm import decontaminate, langid, mixing, quality, secrets, tokens, urls
+from hourgrid.llm import decontaminate, langid, mixing, ngram_join, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op4_language_id": langid.op4_language_id,
     "op5_quality": quality.op5_quality,
     "op6_token_counts": tokens.op6_token_counts,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
+    "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op7_url_filters": urls.ORACLE_SQL,
     "op9_source_mix": mixing.ORACLE_SQL,
     "op10_secret_scan": secrets.ORACLE_SQL,
