@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
 A text is the mean of the embeddings of its byte trigrams, hashed to buckets; a softmax over languages follows.
-Both layers are trained together by stochastic gradient descent in NumPy, on at most `SAMPLE_ROWS` labelled rows in equal shares
+Both layers are trained together by stochastic gradient descent in NumPy, on about `SAMPLE_ROWS` labelled rows in equal shares
 of the languages, chosen by hash. A part of the sample is kept for calibration: a temperature makes the score a
 probability, and the rejection threshold is the lowest that reaches `TARGET` accuracy on accepted texts, but no
 higher than rejects `MOST_REJECTED` of the right ones. Whole texts are scored in Arrow batches; the two layers are folded
@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from hourgrid.llm import storage, words
-from hourgrid.llm.linear_text import byte_grams, fold, segment_sums
+from hourgrid.llm.linear_text import byte_grams, fold, fold_of, segment_sums
 
 BITS, WIDTH, DIMENSIONS = 13, 3, 16
 SAMPLE_ROWS = 4000
@@ -76,18 +75,20 @@ def _features(text: str):
 
 
 def labelled_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> list:
-    """At most `rows` rows (lang, at, share), as even over languages as there are rows; `labelled` has key, text, lang."""
+    """About `rows` rows (lang, at, share), as even over languages as there are rows; `labelled` has key, text, lang."""
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    shares, left = {}, rows
+    for k, r in enumerate(sorted(counts, key=lambda r: r["count"])):
+        take = min(r["count"], left / (len(counts) - k))
+        shares[r["lang"]] = take / r["count"]
+        left -= take
+    if not shares:
         return []
-    keys = labelled.select("key", "lang").filter(F.col("lang").isin([r.lang for r in counts]))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    keys = keys.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
-    chosen = keys.orderBy("rank", "lang").limit(rows).select("key").distinct()
-    schema = "key string, lang string, at array<int>, share array<float>"
-    # The chosen keys are `rows` at most, which bounds the broadcast; repeated keys are cut by the last limit.
-    return labelled.join(F.broadcast(chosen), "key").limit(rows).select("key", "lang", "text").mapInArrow(
-        _features("text"), schema).orderBy(F.xxhash64("key"), "lang").collect()
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+    chosen = F.pmod(F.xxhash64("key", "lang"), F.lit(1 << 30)) < F.coalesce(share, F.lit(0.0)) * (1 << 30)
+    found = labelled.filter(chosen).select("key", "lang", "text").mapInArrow(
+        _features("text"), "key string, lang string, at array<int>, share array<float>").collect()
+    return sorted(found, key=lambda r: (fold_of(r.key, 1 << 32), r.lang))
 
 
 def train(sample: list, seed: int = 4) -> Model:

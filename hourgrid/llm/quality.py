@@ -2,7 +2,7 @@
 
 A text's features are indicators of n-grams hashed to buckets: words and word pairs, runs of character classes, and
 runs of one repeated word. Each bucket's class log-count ratio comes from all labelled rows, summed over the partitions.
-Indicators scaled by the ratios then train a linear hinge-loss model by dual coordinate descent, on at most `SAMPLE_ROWS`
+Indicators scaled by the ratios then train a linear hinge-loss model by dual coordinate descent, on about `SAMPLE_ROWS`
 labelled rows chosen by hash. The weights are mixed with their mean size, as the method has it. A part of the sample
 fits the sigmoid that turns margins into probabilities.
 
@@ -151,8 +151,9 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     p[counts["at"]] += counts["high"]
     q[counts["at"]] += counts["low"]
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    sample = labelled.orderBy(F.xxhash64("key"), "key").limit(rows).select("label", "text").mapInArrow(
-        _sparse, "label int, at array<int>").collect()
+    share = min(rows / (low + high), 1.0)
+    chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = labelled.filter(chosen).select("label", "text").mapInArrow(_sparse, "label int, at array<int>").collect()
     x = [np.array(r["at"], dtype=np.int32) for r in sample]
     y = np.array([1.0 if r["label"] else -1.0 for r in sample])
     held = (np.arange(len(x)) % CALIBRATION == 0) & (len(x) >= 8 * CALIBRATION)
