@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from hourgrid.llm import decontaminate, langid, mixing, ngram_join, quality, secrets, tokens, urls
+from hourgrid.llm import decontaminate, hmm, langid, mixing, ngram_join, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_language_model": hmm.op3_language_model,
     "op4_language_id": langid.op4_language_id,
     "op5_quality": quality.op5_quality,
     "op6_token_counts": tokens.op6_token_counts,
