@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from hourgrid.llm import decontaminate, hmm, langid, mixing, ngram_join, quality, secrets, tokens, urls
+from hourgrid.llm import decontaminate, hmm, langid, mixing, ngram_join, quality, secrets, tokens, tree_search, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_url_filters": urls.op7_url_filters,
+    "op8_tree_search": tree_search.op8_tree_search,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
