@@ -26,7 +26,7 @@ from hourgrid.llm.linear_text import byte_grams, fold, fold_of, segment_sums
 BITS, WIDTH, DIMENSIONS = 13, 3, 16
 SAMPLE_ROWS = 4000
 LANGUAGES = 200  # languages learned at most: the most frequent
-EPOCHS, BATCH, RATE = 14, 32, 2.0
+EPOCHS, STEPS, BATCH, RATE = 14, 1500, 32, 2.0  # at least so many epochs and steps
 CALIBRATION = 5  # one sample row of so many
 TARGET, MOST_REJECTED = 0.98, 0.001
 UNKNOWN = "und"
@@ -109,9 +109,10 @@ def train(sample: list, seed: int = 4) -> Model:
     layer = np.zeros((DIMENSIONS, k), dtype=np.float32)
     bias = np.zeros(k, dtype=np.float32)
     fit = np.flatnonzero(~held)
-    steps = EPOCHS * -(-len(fit) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // -(-len(fit) // BATCH)))
+    steps = epochs * -(-len(fit) // BATCH)
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for rows in np.array_split(rng.permutation(fit), -(-len(fit) // BATCH)):
             rate = RATE * (1 - step / steps)
             x = dense(rows.tolist())
