@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from hourgrid.functions.keys import number_of_ranges, range_cuts, range_of
+
 
 def leave_one_out_median(df: DataFrame, bucket, value: str, name: str) -> DataFrame:
     """Adds the median of the other rows of the bucket; NULL for a bucket of one.
@@ -63,37 +65,25 @@ def median_of_sorted(ordered: Column, rows: int) -> Column:
     return F.when(F.size(ordered) == rows, median)
 
 
-def exact_percentile(
-    df: DataFrame, value: str, share: float, name: str,
-    accuracy: int = 10_000, small: int = 100_000,
-) -> DataFrame:
+def exact_percentile(df: DataFrame, value: str, share: float, name: str, ranges: int | None = None) -> DataFrame:
     """One row with the exact percentile, linear between neighbours.
 
-    A sketch of bounded size brackets the wanted rank; only distinct values inside
-    the bracket are ordered in one task. Values below it are merely counted, by
-    partial aggregation. Up to `small` rows the bracket is the whole range.
+    Distinct values are counted, cut into ranges of like size by a sketch, and numbered inside their
+    range; only the range totals, one row each, are ordered together. `ranges` defaults to the shuffle partitions.
     """
-    margin = 2.0 / accuracy
-    values = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    edges = F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin)))
-    sketch = values.agg(
-        F.count("_v").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"),
-        F.percentile_approx("_v", edges, accuracy).alias("edge"),
-    )
-    few = F.col("n") <= small
-    bracket = sketch.select(F.struct(
-        "n",
-        F.when(few, F.col("least")).otherwise(F.col("edge")[0]).alias("low"),
-        F.when(few, F.col("most")).otherwise(F.col("edge")[1]).alias("high"),
-    ).alias("b")).scalar()
-    counted = (
-        values.withColumn("_b", bracket).filter(F.col("_v") <= F.col("_b.high"))
-        .select(F.col("_b.n").alias("_n"), F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v"))
-        .groupBy("_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    running = W.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.select("_n", "_v", F.sum("_c").over(running).alias("_upto"))
-    place = (F.col("_n") - 1) * F.lit(share)
+    ranges = ranges or number_of_ranges(df)
+    counted = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).groupBy("_v").agg(
+        F.count(F.lit(1)).alias("_c"))
+    placed = counted.withColumn("_cuts", range_cuts(counted, F.col("_v"), ranges)).select(
+        "_v", "_c", range_of(F.col("_cuts"), F.col("_v")).alias("_b"))
+    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("_b").agg(F.sum("_c").alias("_s"))
+    offsets = totals.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_low"))
+    place = (totals.agg(F.sum("_s")).scalar() - 1) * F.lit(share)
+    inside = W.partitionBy("_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = placed.withColumn("_in", F.sum("_c").over(inside)).join(offsets, "_b").select(
+        "_v", (F.col("_low") + F.col("_in")).alias("_upto"), place.alias("_place"))
+    place = F.col("_place")
     picked = ranked.agg(
         F.min(F.when(F.col("_upto") >= F.floor(place) + 1, F.col("_v"))).alias("_a"),
         F.min(F.when(F.col("_upto") >= F.ceil(place) + 1, F.col("_v"))).alias("_z"),

@@ -39,8 +39,8 @@ def split_rejects(parsed: DataFrame, mode: str = "strict") -> tuple[DataFrame, D
     return accepted, marked.filter(F.col("reject_reason").isNotNull())
 
 
-def reject_counts(parsed: DataFrame, mode: str = "strict") -> DataFrame:
-    """Row balance of the split in one pass: raw = clean + rejected."""
+def reject_counts(parsed: DataFrame, *more: Column, mode: str = "strict") -> DataFrame:
+    """Row balance of the split in one pass: raw = clean + rejected; `more` are further aggregates of that pass."""
     bad = reject_reason(mode).isNotNull()
     counted = parsed.agg(
         F.count(F.lit(1)).alias("raw_rows"),
@@ -49,6 +49,7 @@ def reject_counts(parsed: DataFrame, mode: str = "strict") -> DataFrame:
         F.count_if(F.col("timestamp").isNull()).alias("null_timestamps"),
         F.count_if(F.col("grid_id").isNull()).alias("null_grids"),
         F.count_if(C.any_negative(S.MEASURES)).alias("negative_rows"),
+        *more,
     )
     balanced = F.col("raw_rows") == F.col("clean_rows") + F.col("rejected_rows")
     return counted.withColumn("balanced", balanced)

@@ -4,28 +4,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from hourgrid.functions import geometry as G
 
-BROADCAST_BYTES = 64 * 1024 * 1024
 
-
-def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measured size of the frame as text; runs one aggregate over it."""
-    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("bytes")
-    return (df.agg(size).first()["bytes"] or 0) <= max_bytes
-
-
-def attach_geometry(
-    activity: DataFrame, lookup: DataFrame, strategy="auto", max_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def attach_geometry(activity: DataFrame, lookup: DataFrame, strategy="auto") -> DataFrame:
     """Left join on the grid id; activity rows without a polygon stay.
 
-    `auto` leaves the choice to the optimizer, which goes by size at run time.
-    `broadcast` asks for it after measuring the lookup and falls back to `merge`,
-    a sort-merge join, when that is too large.
+    `auto` leaves the choice to the optimizer, which goes by size at run time; `merge` asks for a sort-merge join.
     """
-    if strategy not in ("auto", "broadcast", "merge"):
+    if strategy not in ("auto", "merge"):
         raise ValueError(f"unknown join strategy {strategy!r}")
-    if strategy == "broadcast":
-        strategy = "broadcast" if fits_broadcast(lookup, max_bytes) else "merge"
     side = lookup if strategy == "auto" else lookup.hint(strategy)
     return activity.join(side, "grid_id", "left")
 
@@ -74,10 +60,9 @@ def top_grids_with_geometry(activity: DataFrame, lookup: DataFrame, k=10) -> Dat
     """Top grids by total; polygons join only the k rows that remain."""
     top = activity.groupBy("grid_id").agg(F.sum("total_activity").alias("total_activity"))
     top = top.orderBy(F.desc("total_activity"), F.asc("grid_id")).limit(k)
-    # At most k rows, so this side may be broadcast whatever the size of the lookup.
-    return lookup.join(F.broadcast(top), "grid_id", "right").select(
-        "grid_id", "total_activity", "geometry"
-    )
+    # At most k keys go to the lookup and at most k matches come back; the lookup is not moved.
+    few = lookup.join(F.broadcast(top.select("grid_id")), "grid_id").select("grid_id", "geometry")
+    return top.join(F.broadcast(few), "grid_id", "left")
 
 
 def centroids_by_vertex(lookup: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from hourgrid import schema as S
 from hourgrid.functions import columns as C
+from hourgrid.functions.keys import number_of_ranges, range_cuts, range_of
 from hourgrid.operators.quality import request_errors, require_scorable
 from hourgrid.operators.series import hour_range_features, join_features
 from hourgrid.session import shared_folder
@@ -194,20 +195,18 @@ def best_threshold(
 
 
 def auc(scored: DataFrame, label="HIGH_ACTIVITY", probability="prediction_probability",
-        buckets=256) -> DataFrame:
+        buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve by ranks, ties counted half.
 
     Equal scores are merged first. Distinct scores are cut into ranges of like size by a
-    sketch; each range is summed on its own and only the range totals are ordered together.
+    sketch, as many as shuffle partitions; each range is summed on its own and only the range totals are
+    ordered together.
     """
     scores = scored.groupBy(F.col(probability).alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     )
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    splits = scores.agg(F.percentile_approx("_s", cuts, 10 * buckets).alias("_c")).scalar()
-    placed = scores.withColumn("_cuts", splits).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))
-    )
+    splits = range_cuts(scores, F.col("_s"), buckets or number_of_ranges(scored))
+    placed = scores.withColumn("_cuts", splits).withColumn("_b", range_of(F.col("_cuts"), F.col("_s")))
     inside = W.partitionBy("_b").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_neg").over(inside), F.lit(0))
     ranges = placed.select("_b", "_pos", "_neg",

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from hourgrid.functions import columns as C
-from hourgrid.functions.keys import dense_keys
+from hourgrid.functions.keys import dense_keys, text_ranges
 
 # Accepted source column names, in order of preference.
 ALIASES = {
@@ -44,10 +44,10 @@ def dim_time(source: DataFrame) -> DataFrame:
     return keyed.select("time_key", "event_date", "hour", "day_of_week")
 
 
-def dim_grid(source: DataFrame, centroids: DataFrame | None = None, prefix=3) -> DataFrame:
+def dim_grid(source: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
     """Distinct grids with keys in text order of the id, located where a polygon exists."""
-    grids = source.select("grid_id").distinct()
-    keyed = dense_keys(grids, ["grid_id"], "grid_key", F.substring("grid_id", 1, prefix))
+    grids = text_ranges(source.select("grid_id").distinct(), "grid_id")
+    keyed = dense_keys(grids, ["grid_id"], "grid_key", None)
     if centroids is None:
         blank = {c: F.lit(None).cast("double") for c in ("centroid_latitude", "centroid_longitude")}
         located = keyed.withColumns({**blank, "geometry_reference": F.lit(None).cast("string")})
@@ -112,9 +112,12 @@ def internet_heavy_hours(fact: DataFrame, times: DataFrame, k=10) -> DataFrame:
 
 
 def warehouse_checks(
-    source: DataFrame, grids: DataFrame, fact: DataFrame, tolerance=1e-6
+    source: DataFrame, grids: DataFrame, fact: DataFrame, tolerance=1e-9
 ) -> DataFrame:
-    """One row per check: name, passed, details. Each table is read once."""
+    """One row per check: name, passed, details. Each table is read once.
+
+    Sums of doubles differ with the order of addition, so they are compared relative to their size.
+    """
     measures = ["sms_count", "call_count", "internet_volume"]
 
     def profile(df):
@@ -139,7 +142,8 @@ def warehouse_checks(
         return F.format_string(label, a.cast("string"), b.cast("string"))
 
     plain = "geometry" not in fact.columns and "geometry_reference" not in fact.columns
-    close = [F.abs(F.col(f"s.{m}") - F.col(f"f.{m}")) < tolerance for m in measures]
+    close = [F.abs(F.col(f"s.{m}") - F.col(f"f.{m}"))
+             <= tolerance * F.greatest(F.abs(F.col(f"s.{m}")), F.lit(1.0)) for m in measures]
     rows = [
         ("fact_rows_equal_source", F.col("s.rows") == F.col("f.rows"),
          pair("source=%s, fact=%s", F.col("s.rows"), F.col("f.rows"))),

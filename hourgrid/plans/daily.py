@@ -9,13 +9,15 @@ executor costs at most one stage, and the hourly table is computed once for all
 import argparse
 import logging
 
+from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hourgrid import schema as S
 from hourgrid.operators import (
-    aggregate, alerts, anomaly, clean, geo, profile, runs, series, warehouse,
+    aggregate, alerts, anomaly, clean, gates, geo, learning, runs, series, warehouse,
 )
-from hourgrid.session import build_session
+from hourgrid.session import build_session, cut_lineage
 from hourgrid.sources import files, sinks
 
 log = logging.getLogger("hourgrid.daily")
@@ -33,12 +35,45 @@ def _stored(spark: SparkSession, df: DataFrame, path: str, time=None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def process_files(spark: SparkSession, source: str, processed: str) -> tuple[DataFrame, DataFrame]:
-    """Clean activity by date and the counts of the run, both as stored."""
+def ingest(spark: SparkSession, source: str, analytics: str, now: str) -> list[str]:
+    """Judge the files of the landing folder and return the paths of the new good ones.
+
+    Each file gets a row in the audit log, which also is the manifest of files taken before. A folder
+    without files, or with an empty one, is refused.
+    """
+    found = files.discover_files(spark, source)
+    zone = gates.raw_zone_check(found).first()
+    if not zone["passed"]:
+        raise ValueError(f"raw zone refused: {zone['files']} files, {zone['empty_files']} empty")
+    audit = f"{analytics}/ingest_audit"
+    try:
+        seen = spark.read.schema(S.AUDIT_SCHEMA).parquet(audit)
+    except AnalysisException as missing:  # the first run has no log yet
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        seen = spark.createDataFrame([], S.AUDIT_SCHEMA)
+    lines = files.read_lines(spark, source)
+    headers = gates.file_headers(lines)
+    checked = gates.header_gate(found.select("filename"), headers)
+    rows = gates.row_gate(gates.fields_by_name(lines, headers))
+    routed = cut_lineage(gates.route_files(checked, rows, seen.filter("status = 'ACCEPTED'")))
+    sinks.append_audit(routed, audit, now)
+    # Names of files: as many as days arrive at once.
+    names = [r["filename"] for r in routed.filter("status = 'ACCEPTED'").select("filename").collect()]
+    return [f"{source.rstrip('/')}/{n}" for n in sorted(names)]
+
+
+def process_files(spark: SparkSession, source, processed: str) -> tuple[DataFrame, DataFrame]:
+    """Clean activity by date and the counts of the run, both as stored. `source` is a folder or a list of files.
+
+    Nulls and rejects are counted in one pass over the text.
+    """
     raw = files.read_activity(spark, source)
     parsed = clean.parse_activity(raw)
-    nulls = profile.null_profile(parsed, S.MEASURES).select("null_total").scalar()
-    counts = clean.reject_counts(parsed).withColumn("nulls_handled", nulls)
+    nulls = F.lit(0)
+    for m in S.MEASURES:
+        nulls = nulls + F.count_if(F.col(m).isNull())
+    counts = clean.reject_counts(parsed, nulls.cast("bigint").alias("nulls_handled"))
     counted = _stored(spark, counts, f"{processed}/run_counts")
     activity = _stored(spark, clean.clean_activity(raw), f"{processed}/activity", "timestamp")
     return activity, counted
@@ -104,13 +139,45 @@ def publish(
     return files.read_status(spark, path)
 
 
-def run(spark, source, processed, analytics, reference=None, run_id="manual", now=None) -> DataFrame:
-    """All stages; returns the status record and raises when a check failed."""
-    lookup = files.read_geojson(spark, reference) if reference else None
-    activity, counted = process_files(spark, source, processed)
-    tables = build_analytics(spark, activity, analytics, lookup)
-    record = publish(spark, counted, tables, analytics, run_id, now)
-    row = record.first()
+def score(spark: SparkSession, tables: dict[str, DataFrame], analytics: str, model, version: str) -> DataFrame:
+    """Score the stored features and upsert them into the risk table."""
+    features = learning.require_scorable(tables["network_feature_table"])
+    learning.require_model_schema(model, features)
+    risk = learning.risk_rows(learning.with_probability(model, features), version)
+    path = f"{analytics}/network_risk_scores"
+    sinks.upsert_by_date(spark, risk, path)
+    return spark.read.parquet(path)
+
+
+def run(spark, source, processed, analytics, reference=None, run_id="manual", now=None, gated=False,
+        model=None, version="gbt-v1") -> DataFrame:
+    """All stages; returns the status record and raises when a check failed.
+
+    With `gated`, files pass the gates first, refused ones and those taken before are left out, and a run
+    without new files changes nothing. With `model`, the feature table is scored and upserted. A stage that breaks
+    leaves a failure record that names it.
+    """
+    task = "ingest"
+    status = f"{analytics}/pipeline_status"
+    try:
+        if gated:
+            source = ingest(spark, source, analytics, now)
+            if not source:
+                log.info("no new file")
+                return files.read_status(spark, status)
+        task = "spark_process"
+        lookup = files.read_geojson(spark, reference) if reference else None
+        activity, counted = process_files(spark, source, processed)
+        tables = build_analytics(spark, activity, analytics, lookup)
+        if model is not None:
+            task = "batch_score"
+            score(spark, tables, analytics, model, version)
+        task = "quality_check"
+        record = publish(spark, counted, tables, analytics, run_id, now)
+        row = record.first()
+    except Exception as error:
+        sinks.write_status(runs.failure_record(spark, "daily activity", run_id, task, str(error)[:500], str(now)), status)
+        raise
     if row["status"] != "SUCCESS":
         raise RuntimeError(f"quality check failed: {row['reasons']}")
     return record
@@ -123,10 +190,12 @@ def main(argv=None):
     parser.add_argument("--reference", help="GeoJSON file of the grid")
     parser.add_argument("--run-id", default="manual")
     parser.add_argument("--now", required=True, help="time stamp of the run")
+    parser.add_argument("--model", help="folder of a stored classifier; features are scored with it")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     spark = build_session("daily activity")
-    run(spark, args.input, args.processed, args.analytics, args.reference, args.run_id, args.now)
+    model = PipelineModel.load(args.model) if args.model else None
+    run(spark, args.input, args.processed, args.analytics, args.reference, args.run_id, args.now, gated=True, model=model)
 
 
 if __name__ == "__main__":

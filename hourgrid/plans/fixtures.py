@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hourgrid import schema as S
 from hourgrid.functions import geometry as G
 from hourgrid.operators import aggregate, alerts, anomaly, clean, geo, learning, series, warehouse
+from hourgrid.session import stored
 
 EVENT_MEASURE = {
     "smsin": "click", "smsout": "signup", "callin": "purchase", "callout": "error",
@@ -100,7 +101,10 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class Workspace:
-    """Frames of one test folder, built on first use; nothing here runs a job."""
+    """Frames of one test folder, built on first use; nothing here runs a job.
+
+    Queries that draw on more than one derived frame use `stored` instead, where they are built once.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -108,6 +112,10 @@ class Workspace:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def stored(self):
+        return StoredWorkspace(self.spark, self.folder)
+
     @cached_property
     def raw(self):
         return raw_activity(self.spark, self.folder)
@@ -203,3 +211,50 @@ class Workspace:
         """Latest hour of the activity, from the raw times alone."""
         last = F.date_trunc("hour", F.max("timestamp"))
         return self.parsed.agg(last.alias("as_of")).scalar()
+
+
+class StoredWorkspace(Workspace):
+    """The same frames, the hourly table and what is derived from it written once and read from there.
+
+    Raw events are read once. The tables lie in the shared folder that the session names.
+    """
+
+    @property
+    def stored(self):
+        return self
+
+    @cached_property
+    def hourly(self):
+        return stored(super().hourly, "hourly")
+
+    @cached_property
+    def features(self):
+        return stored(super().features, "features")
+
+    @cached_property
+    def alerts(self):
+        return stored(super().alerts, "alerts")
+
+    @cached_property
+    def scores(self):
+        return stored(super().scores, "scores")
+
+    @cached_property
+    def labelled(self):
+        return stored(super().labelled, "labelled")
+
+    @cached_property
+    def dim_time(self):
+        return stored(super().dim_time, "dim_time")
+
+    @cached_property
+    def dim_grid(self):
+        return stored(super().dim_grid, "dim_grid")
+
+    @cached_property
+    def corrupted(self):
+        return stored(super().corrupted, "corrupted")
+
+    @cached_property
+    def as_of(self):
+        return self.hourly.agg(F.max("timestamp").alias("as_of")).scalar()

@@ -36,6 +36,11 @@ def _temporal_columns(prefix=""):
     return rounded(*S.TEMPORAL_FEATURES, prefix=prefix)
 
 
+_HAND = """SELECT count(*) AS groups, count(*) FILTER (coalesce(abs(h.total_activity + {shift} - r.again) > 1e-6, true)) AS mismatches
+    FROM hourly h FULL JOIN (SELECT grid_id, date_trunc('hour', timestamp) AS ts, sum(coalesce(sms_in, 0) + coalesce(sms_out, 0)
+      + coalesce(call_in, 0) + coalesce(call_out, 0) + coalesce(internet_activity, 0)) AS again FROM raw GROUP BY 1, 2) r
+    ON r.grid_id = h.grid_id AND r.ts = h.timestamp"""
+
 QUERIES = {
     "hotspot_top10": (
         lambda ws: A.hotspots_from_days(ws.hourly),
@@ -77,7 +82,7 @@ QUERIES = {
         f"""SELECT event_id, grid_id, {T('timestamp')} AS timestamp, country_code, {_M}, reject_reason
             FROM bad WHERE reject_reason IS NOT NULL"""),
     "lenient_clean_counts": (
-        lambda ws: clean.reject_counts(ws.corrupted, "lenient").select(
+        lambda ws: clean.reject_counts(ws.corrupted, mode="lenient").select(
             "raw_rows", "clean_rows", "rejected_rows"),
         f"""SELECT count(*) AS raw_rows, count(*) FILTER (timestamp IS NOT NULL AND NOT ({_NEGATIVE})) AS clean_rows,
             count(*) FILTER (timestamp IS NULL OR ({_NEGATIVE})) AS rejected_rows FROM bad"""),
@@ -193,7 +198,11 @@ QUERIES = {
             (SELECT count(*) FROM raw) AS r FROM hourly) s"""),
     "hand_check": (
         lambda ws: A.recompute_check(ws.parsed, ws.hourly),
-        "SELECT count(*) AS groups, CAST(0 AS BIGINT) AS mismatches FROM hourly"),
+        _HAND.format(shift="0")),
+    "hand_check_faulted": (
+        lambda ws: A.recompute_check(ws.parsed, ws.hourly.withColumn("total_activity", F.col("total_activity") + F.when(
+            F.hour("timestamp") == 5, 1.0).otherwise(0.0))),
+        _HAND.format(shift="CASE WHEN hour(h.timestamp) = 5 THEN 1.0 ELSE 0.0 END")),
     # --- time series
     "previous_row": (
         lambda ws: series.previous_row(ws.hourly).select(*S.KEYS, "total_activity", "previous_activity"),
@@ -287,7 +296,7 @@ _enriched_sql = f"""SELECT h.grid_id, {T('h.timestamp')} AS timestamp, {R('h.tot
     FROM hourly h LEFT JOIN some_cells c ON c.grid_id = h.grid_id"""
 
 QUERIES |= {
-    "enriched_hourly": (lambda ws: _corner(ws, "broadcast", ws.partial_lookup), _enriched_sql),
+    "enriched_hourly": (lambda ws: _corner(ws, "auto", ws.partial_lookup), _enriched_sql),
     "enriched_hourly_shuffle": (lambda ws: _corner(ws, "merge", ws.partial_lookup), _enriched_sql),
     "top_grids_geo": (
         lambda ws: _first_corner(geo.top_grids_with_geometry(ws.hourly, ws.lookup)),

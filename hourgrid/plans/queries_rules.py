@@ -96,7 +96,7 @@ QUERIES = {
               count(*) FILTER (anomaly_direction = 'HIGH') AS h, count(*) FILTER (anomaly_direction = 'LOW') AS l
               FROM anomalies) s"""),
     "two_way_agreement": (
-        lambda ws: _cast(AN.two_way_agreement(ws.predictions, ws.alerts).select(
+        lambda ws: _cast(AN.two_way_agreement(ws.stored.predictions, ws.stored.alerts).select(
             "grid_id", "prediction_timestamp", "MODEL_PREDICTION", "NP3_ALERT", "agreement_category"),
             MODEL_PREDICTION="bigint", NP3_ALERT="bigint"),
         f"""SELECT grid_id, {T('prediction_timestamp')} AS prediction_timestamp, CAST(pred AS BIGINT) AS MODEL_PREDICTION,
@@ -105,13 +105,13 @@ QUERIES = {
             FROM compared"""),
     "agreement_counts": (
         lambda ws: AN.category_counts(
-            AN.two_way_agreement(ws.predictions, ws.alerts), "agreement_category", S.AGREEMENT),
+            AN.two_way_agreement(ws.stored.predictions, ws.stored.alerts), "agreement_category", S.AGREEMENT),
         """SELECT 'MODEL_AND_NP3' AS agreement_category, count(*) FILTER (pred = 1 AND rule = 1) AS rows FROM compared
             UNION ALL SELECT 'MODEL_ONLY', count(*) FILTER (pred = 1 AND rule = 0) FROM compared
             UNION ALL SELECT 'NP3_ONLY', count(*) FILTER (pred = 0 AND rule = 1) FROM compared
             UNION ALL SELECT 'NEITHER', count(*) FILTER (pred = 0 AND rule = 0) FROM compared"""),
     "three_way_comparison": (
-        lambda ws: _cast(AN.three_way_comparison(ws.predictions, ws.scores, ws.alerts).select(
+        lambda ws: _cast(AN.three_way_comparison(ws.stored.predictions, ws.stored.scores, ws.stored.alerts).select(
             "grid_id", "prediction_timestamp", "prediction_probability", "anomaly_score",
             "anomaly_direction", X, "ML4_ANOMALY", "NP3_ALERT", "ML3_PREDICTION", "comparison_category"),
             ML4_ANOMALY="bigint", NP3_ALERT="bigint", ML3_PREDICTION="bigint"),
@@ -121,13 +121,13 @@ QUERIES = {
             comparison_category FROM categories"""),
     "comparison_counts": (
         lambda ws: AN.category_counts(
-            AN.three_way_comparison(ws.predictions, ws.scores, ws.alerts),
+            AN.three_way_comparison(ws.stored.predictions, ws.stored.scores, ws.stored.alerts),
             "comparison_category", S.COMPARISON),
         f"""SELECT name AS comparison_category, count(c.grid_id) AS rows FROM {_values(S.COMPARISON)}
             LEFT JOIN categories c ON c.comparison_category = v.name GROUP BY 1"""),
     "representative_disagreement": (
         lambda ws: AN.representative_disagreement(
-            AN.three_way_comparison(ws.predictions, ws.scores, ws.alerts)
+            AN.three_way_comparison(ws.stored.predictions, ws.stored.scores, ws.stored.alerts)
         ).select("grid_id", "prediction_timestamp", "anomaly_score", "comparison_category"),
         f"""SELECT grid_id, {T('prediction_timestamp')} AS prediction_timestamp, {R('anomaly_score')} AS anomaly_score,
             comparison_category FROM categories c JOIN {_values(S.DISAGREEMENT_ORDER)} ON v.name = c.comparison_category
@@ -141,42 +141,36 @@ QUERIES = {
         lambda ws: _cast(ws.dim_time, hour="bigint"),
         f"SELECT time_key, {D('event_date')} AS event_date, hour, day_of_week FROM dim_time"),
     "dim_grid": (
-        lambda ws: ws.dim_grid,
+        lambda ws: ws.stored.dim_grid,
         f"""SELECT grid_key, grid_id, {rounded('centroid_latitude', 'centroid_longitude')}, geometry_reference
             FROM dim_grid"""),
     "fact_activity": (
-        lambda ws: WH.fact_keys(ws.keyed_fact),
+        lambda ws: WH.fact_keys(ws.stored.keyed_fact),
         f"""SELECT row_number() OVER (ORDER BY f.event_time, f.grid_id) AS fact_key, t.time_key, g.grid_key, f.grid_id,
             {T('f.event_time')} AS event_time, {rounded('sms_count', 'call_count', 'internet_volume', prefix='f.')}
             FROM fact f JOIN dim_time t ON t.event_date = f.date AND t.hour = f.hour
             JOIN dim_grid g ON g.grid_id = f.grid_id"""),
     "wh_top_grids": (
-        lambda ws: WH.top_grids(ws.keyed_fact, ws.dim_grid),
+        lambda ws: WH.top_grids(ws.stored.keyed_fact, ws.stored.dim_grid),
         f"""SELECT grid_id, {rounded('total_sms', 'total_calls', 'total_internet')} FROM (SELECT grid_id,
             sum(sms_count) AS total_sms, sum(call_count) AS total_calls, sum(internet_volume) AS total_internet
             FROM fact GROUP BY 1) s ORDER BY s.total_sms + s.total_calls + s.total_internet DESC, grid_id LIMIT 10"""),
     "wh_hourly_trend": (
-        lambda ws: _cast(WH.hourly_trend(ws.keyed_fact, ws.dim_time), hour="bigint"),
+        lambda ws: _cast(WH.hourly_trend(ws.stored.keyed_fact, ws.stored.dim_time), hour="bigint"),
         f"""SELECT {D('date')} AS event_date, hour, {rounded('total_sms', 'total_calls', 'total_internet')} FROM (
             SELECT date, hour, sum(sms_count) AS total_sms, sum(call_count) AS total_calls,
             sum(internet_volume) AS total_internet FROM fact GROUP BY 1, 2) s"""),
     "wh_internet_hours": (
-        lambda ws: _cast(WH.internet_heavy_hours(ws.keyed_fact, ws.dim_time), hour="bigint"),
+        lambda ws: _cast(WH.internet_heavy_hours(ws.stored.keyed_fact, ws.stored.dim_time), hour="bigint"),
         f"""SELECT {D('date')} AS event_date, hour, {R('i')} AS total_internet FROM (SELECT date, hour,
             sum(internet_volume) AS i FROM fact GROUP BY 1, 2) s ORDER BY i DESC, date, hour LIMIT 10"""),
     "wh_top5_internet": (
-        lambda ws: WH.top_internet_grids(ws.keyed_fact, ws.dim_grid),
+        lambda ws: WH.top_internet_grids(ws.stored.keyed_fact, ws.stored.dim_grid),
         f"""SELECT grid_id, {R('i')} AS internet_volume FROM (SELECT grid_id, sum(internet_volume) AS i FROM fact
             GROUP BY 1) s ORDER BY i DESC, grid_id LIMIT 5"""),
     "wh_checks": (
-        lambda ws: WH.warehouse_checks(ws.source, ws.dim_grid, ws.keyed_fact),
-        """SELECT 'fact_rows_equal_source' AS name, true AS passed, 'source=' || n || ', fact=' || n AS details
-            FROM (SELECT count(*) AS n FROM fact) s
-            UNION ALL SELECT 'dim_grid_equals_distinct_grids', true, 'source_distinct=' || n || ', dim_grid=' || n
-            FROM (SELECT count(DISTINCT grid_id) AS n FROM fact) s
-            UNION ALL SELECT 'no_duplicate_dim_grid', true, 'duplicates=0'
-            UNION ALL SELECT 'fact_has_no_geometry', true, 'geometry column absent'
-            UNION ALL SELECT 'sums_match_source', true, 'tolerance=1e-06'"""),
+        lambda ws: WH.warehouse_checks(ws.stored.source, ws.stored.dim_grid, ws.stored.keyed_fact),
+        None),
     # --- learning
     "temporal_features": (
         lambda ws: series.temporal_features(ws.hourly),
@@ -249,15 +243,11 @@ QUERIES = {
         f"""SELECT grid_id, {T('timestamp')} AS timestamp, {R('risk_score')} AS risk_score, risk_level, model_version
             FROM risk"""),
     "leakage_checks": (
-        lambda ws: Q.leakage_checks(ws.labelled, ws.hourly, ws.train_end),
-        f"""SELECT name AS check, CAST(0 AS BIGINT) AS failures, true AS passed FROM {_values([
-            'duplicate_features', 'feature_not_before_target', 'target_not_next_hour', 'target_misaligned',
-            'label_disagrees', 'train_test_overlap', 'no_rows'])}"""),
+        lambda ws: Q.leakage_checks(ws.stored.labelled, ws.stored.hourly, ws.stored.train_end),
+        None),
     "feature_integrity": (
-        lambda ws: Q.feature_integrity(ws.features),
-        "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS duplicate_keys, "
-        + ", ".join(f"count(*) - count({n}) AS bad_{n}" for n in S.MODEL_FEATURES)
-        + ", true AS passed FROM features"),
+        lambda ws: Q.feature_integrity(ws.stored.features),
+        None),
     "feature_key_match": (
         lambda ws: Q.key_match(series.feature_windows(ws.hourly), series.temporal_features(ws.hourly)),
         """SELECT CAST(0 AS BIGINT) AS left_duplicates, CAST(0 AS BIGINT) AS right_duplicates, f AS matched_keys,
@@ -354,7 +344,10 @@ def _rescored(ws):
 def _routed(ws):
     rows = FX.file_rows(ws.raw)
     files = rows.select("filename").distinct()
-    headers = files.withColumn("header", F.array(*[F.lit(c) for c in S.RAW_COLUMNS]))
+    # Days that end in 5 come without a column, those that end in 9 without a header.
+    full, day = F.array(*[F.lit(c) for c in S.RAW_COLUMNS]), F.substring("filename", -5, 1)
+    short = F.array(*[F.lit(c) for c in S.RAW_COLUMNS if c != "callin"])
+    headers = files.withColumn("header", F.when(day == "5", short).when(day != "9", full))
     checked = gates.header_gate(files, headers)
     return gates.route_files(checked, gates.row_gate(rows), FX.accepted_files(ws.raw))
 
@@ -372,8 +365,92 @@ _GATED = f"""SELECT filename, coalesce(min(seen) FILTER (code IS NOT NULL), max(
             FROM events) e) c GROUP BY 1"""
 _TAKEN = f"SELECT 'sms-call-internet-mi-' || {D('timestamp')} || '.csv' FROM raw WHERE sms_out > 250"
 QUERIES["file_gate_rows"] = (QUERIES["file_gate_rows"][0], _GATED)
+_SCHEMA = "CASE substr(filename, -5, 1) WHEN '5' THEN 'MISSING_COLUMNS:callin' WHEN '9' THEN 'EMPTY_FILE' ELSE 'SCHEMA_VALID' END"
 QUERIES["file_gate_status"] = (QUERIES["file_gate_status"][0], f"""SELECT filename,
-    CASE WHEN quality_reason <> 'QUALITY_VALID' THEN 'REJECTED' WHEN filename IN ({_TAKEN}) THEN 'DUPLICATE'
-      ELSE 'ACCEPTED' END AS status, row_count,
-    CASE WHEN quality_reason <> 'QUALITY_VALID' THEN quality_reason WHEN filename IN ({_TAKEN})
-      THEN 'FILE_ALREADY_EXISTS_IN_RAW' ELSE 'QUALITY_VALID' END AS reason FROM ({_GATED}) g""")
+    CASE WHEN reason <> 'QUALITY_VALID' THEN 'REJECTED' WHEN taken THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS status,
+    CASE WHEN {_SCHEMA} = 'SCHEMA_VALID' THEN row_count ELSE 0 END AS row_count,
+    CASE WHEN reason = 'QUALITY_VALID' AND taken THEN 'FILE_ALREADY_EXISTS_IN_RAW' ELSE reason END AS reason
+    FROM (SELECT *, filename IN ({_TAKEN}) AS taken,
+            CASE WHEN {_SCHEMA} = 'SCHEMA_VALID' THEN quality_reason ELSE {_SCHEMA} END AS reason FROM ({_GATED}) g) z""")
+
+
+def _warehouse_sql(keep: str, grids: str) -> str:
+    """The warehouse checks over facts that meet `keep` and a grid dimension given as a table."""
+    sums = ", ".join(f"sum({c}) AS {c}" for c in ("sms_count", "call_count", "internet_volume"))
+    close = " AND ".join(f"abs(s.{c} - f.{c}) <= 1e-9 * greatest(abs(s.{c}), 1)" for c in ("sms_count", "call_count", "internet_volume"))
+    return f"""SELECT u.* FROM (SELECT count(*) AS n, count(DISTINCT grid_id) AS g, {sums} FROM fact) s
+        CROSS JOIN (SELECT count(*) AS n, {sums} FROM fact f JOIN dim_time t ON t.event_date = f.date AND t.hour = f.hour
+          WHERE grid_id IN (SELECT grid_id FROM dim_grid) AND {keep}) f
+        CROSS JOIN (SELECT count(*) AS n, count(*) FILTER (c > 1) AS twice, sum(c) AS rows FROM
+          (SELECT grid_id, count(*) AS c FROM {grids} GROUP BY 1) k) d,
+        LATERAL (SELECT 'fact_rows_equal_source' AS name, s.n = f.n AS passed, 'source=' || s.n || ', fact=' || f.n AS details
+          UNION ALL SELECT 'dim_grid_equals_distinct_grids', s.g = d.rows, 'source_distinct=' || s.g || ', dim_grid=' || d.rows
+          UNION ALL SELECT 'no_duplicate_dim_grid', d.twice = 0, 'duplicates=' || d.twice
+          UNION ALL SELECT 'fact_has_no_geometry', NOT list_contains({WH.FACT_COLUMNS}, 'geometry'), 'geometry column absent'
+          UNION ALL SELECT 'sums_match_source', {close}, 'tolerance=1e-09') u"""
+
+
+def _leakage_sql(rows: str) -> str:
+    """The leakage checks over labelled rows given as a table."""
+    return f"""SELECT q.* FROM (WITH rows_ AS (SELECT l.*, h.total_activity AS actual, l.prediction_timestamp <= (SELECT train_end FROM train_end) AS early
+          FROM {rows} l LEFT JOIN hourly h ON h.grid_id = l.grid_id AND h.timestamp = l.prediction_timestamp),
+        counts AS (SELECT (SELECT count(*) FROM (SELECT 1 FROM rows_ GROUP BY grid_id, feature_timestamp HAVING count(*) > 1) d) AS a,
+          count(*) FILTER (prediction_timestamp <= feature_timestamp) AS b,
+          count(*) FILTER (prediction_timestamp <> feature_timestamp + INTERVAL 1 HOUR) AS c,
+          count(*) FILTER (coalesce(actual <> future_total_activity, true)) AS d,
+          count(*) FILTER (high <> CAST(future_total_activity > high_activity_threshold AS INTEGER)) AS e,
+          CAST(coalesce(max(prediction_timestamp) FILTER (early) >= min(prediction_timestamp) FILTER (NOT early), true) AS BIGINT) AS f,
+          CAST(count(*) = 0 AS BIGINT) AS g FROM rows_)
+        SELECT u.name AS check, u.n AS failures, u.n = 0 AS passed FROM counts,
+          LATERAL (SELECT 'duplicate_features' AS name, a AS n UNION ALL SELECT 'feature_not_before_target', b
+            UNION ALL SELECT 'target_not_next_hour', c UNION ALL SELECT 'target_misaligned', d UNION ALL SELECT 'label_disagrees', e
+            UNION ALL SELECT 'train_test_overlap', f UNION ALL SELECT 'no_rows', g) u) q"""
+
+
+def _integrity_sql(rows: str) -> str:
+    bad = {n: f"count(*) FILTER ({n} IS NULL OR NOT isfinite(CAST({n} AS DOUBLE)))" for n in S.MODEL_FEATURES}
+    twice = f"(SELECT count(*) FROM (SELECT 1 FROM {rows} x GROUP BY grid_id, feature_timestamp HAVING count(*) > 1) d)"
+    return (f"SELECT count(*) AS rows, {twice} AS duplicate_keys, " + ", ".join(f"{e} AS bad_{n}" for n, e in bad.items())
+            + f", {twice} = 0 AND {' + '.join(bad.values())} = 0 AS passed FROM {rows} r")
+
+
+def _faulted_labels(labelled):
+    """Labelled rows with a late target, a turned label, and the rows of a grid twice."""
+    hour = F.hour("feature_timestamp")
+    return labelled.union(labelled.filter("grid_id = '7'")).withColumns({
+        "prediction_timestamp": F.when(hour == 3, F.col("prediction_timestamp") + F.expr("INTERVAL 1 HOUR"))
+        .when(hour == 4, F.col("feature_timestamp")).otherwise(F.col("prediction_timestamp")),
+        "HIGH_ACTIVITY": F.when(hour == 5, 1 - F.col("HIGH_ACTIVITY")).otherwise(F.col("HIGH_ACTIVITY")),
+    })
+
+
+_LATE = """(SELECT * REPLACE (CASE hour(feature_timestamp) WHEN 3 THEN prediction_timestamp + INTERVAL 1 HOUR
+    WHEN 4 THEN feature_timestamp ELSE prediction_timestamp END AS prediction_timestamp,
+    CASE hour(feature_timestamp) WHEN 5 THEN 1 - high ELSE high END AS high)
+    FROM (SELECT * FROM labelled UNION ALL SELECT * FROM labelled WHERE grid_id = '7') w)"""
+_GAPS = """(SELECT * REPLACE (CASE WHEN hour(feature_timestamp) <> 5 THEN activity_growth END AS activity_growth)
+    FROM (SELECT * FROM features UNION ALL SELECT * FROM features WHERE grid_id = '7') w)"""
+
+
+def _faulted_features(features):
+    return features.union(features.filter("grid_id = '7'")).withColumn(
+        "activity_growth", F.when(F.hour("feature_timestamp") != 5, F.col("activity_growth")))
+
+
+def _faulted_warehouse(ws):
+    """One hour of facts lost, and a grid twice in the dimension."""
+    fact = ws.keyed_fact.filter(F.hour("event_time") != 6)
+    return WH.warehouse_checks(ws.source, ws.dim_grid.union(ws.dim_grid.filter("grid_id = '7'")), fact)
+
+
+QUERIES["wh_checks"] = (QUERIES["wh_checks"][0], _warehouse_sql("true", "dim_grid"))
+QUERIES["leakage_checks"] = (QUERIES["leakage_checks"][0], _leakage_sql("labelled"))
+QUERIES["feature_integrity"] = (QUERIES["feature_integrity"][0], _integrity_sql("features"))
+QUERIES |= {
+    "wh_checks_faulted": (lambda ws: _faulted_warehouse(ws.stored), _warehouse_sql(
+        "hour(event_time) <> 6", "(SELECT * FROM dim_grid UNION ALL SELECT * FROM dim_grid WHERE grid_id = '7')")),
+    "leakage_checks_faulted": (
+        lambda ws: Q.leakage_checks(_faulted_labels(ws.stored.labelled), ws.stored.hourly, ws.stored.train_end), _leakage_sql(_LATE)),
+    "feature_integrity_faulted": (
+        lambda ws: Q.feature_integrity(_faulted_features(ws.stored.features)), _integrity_sql(_GAPS)),
+}

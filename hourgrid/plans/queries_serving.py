@@ -17,7 +17,7 @@ _RISK = f"{R('r.risk_score')} AS risk_score, r.risk_level, r.model_version"
 _AT = "(SELECT as_of FROM latest)"
 _TIMELINE = f"""SELECT f.*, r.risk_score, r.risk_level, r.model_version FROM (SELECT *, row_number() OVER
     (PARTITION BY grid_id ORDER BY event_time DESC) AS newest FROM fact) f
-    LEFT JOIN risk r ON r.grid_id = f.grid_id AND r.timestamp = f.event_time WHERE f.newest <= 24"""
+    LEFT JOIN risk r ON r.grid_id = f.grid_id AND r.timestamp = f.event_time WHERE f.newest <= 168"""
 _LEVELS = ["HIGH", "ATTENTION", "LOW"]
 
 
@@ -95,29 +95,29 @@ def _tasks(df):
 
 QUERIES = {
     "network_summary": (
-        lambda ws: V.network_summary(ws.fact),
+        lambda ws: V.network_summary(ws.stored.fact),
         f"""SELECT {R('t')} AS total_activity, g AS active_grids, {T('p')} AS peak_hour, top AS top_grid,
             {T(_AT)} AS as_of FROM (SELECT sum(total) AS t, count(DISTINCT CASE WHEN total > 0 THEN grid_id END) AS g,
             (SELECT event_time FROM fact GROUP BY 1 ORDER BY sum(total) DESC, 1 LIMIT 1) AS p,
             (SELECT grid_id FROM fact GROUP BY 1 ORDER BY sum(total) DESC, 1 LIMIT 1) AS top FROM fact) s"""),
     "network_summary_at": (
-        lambda ws: V.network_summary(ws.fact, "2024-01-15 12:00:00").drop("as_of"),
+        lambda ws: V.network_summary(ws.stored.fact, "2024-01-15 12:00:00").drop("as_of"),
         f"""SELECT {R('t')} AS total_activity, g AS active_grids, {T('p')} AS peak_hour, top AS top_grid
             FROM (SELECT sum(total) AS t, count(DISTINCT CASE WHEN total > 0 THEN grid_id END) AS g,
             (SELECT event_time FROM fact WHERE event_time <= '2024-01-15 12:00:00' GROUP BY 1 ORDER BY sum(total) DESC, 1 LIMIT 1) AS p,
             (SELECT grid_id FROM fact WHERE event_time <= '2024-01-15 12:00:00' GROUP BY 1 ORDER BY sum(total) DESC, 1 LIMIT 1) AS top
             FROM fact WHERE event_time <= '2024-01-15 12:00:00') s"""),
     "grid_drilldown": (
-        lambda ws: V.grid_drilldown(ws.fact),
+        lambda ws: V.grid_drilldown(ws.stored.fact),
         f"""SELECT grid_id, {T('event_time')} AS timestamp, {_POINT} FROM fact
             WHERE event_time BETWEEN {_AT} - INTERVAL 23 HOURS AND {_AT}"""),
     "grid_timeline": (
-        lambda ws: V.grid_timeline(ws.fact, ws.risk),
+        lambda ws: V.grid_timeline(ws.stored.fact, ws.stored.risk),
         f"""SELECT f.grid_id, {T('f.event_time')} AS timestamp, {_POINT}, {_RISK} FROM (SELECT *, row_number() OVER
             (PARTITION BY grid_id ORDER BY event_time DESC) AS newest FROM fact) f
             LEFT JOIN risk r ON r.grid_id = f.grid_id AND r.timestamp = f.event_time WHERE f.newest <= 168"""),
     "timeline_summary": (
-        lambda ws: V.timeline_summary(V.grid_timeline(ws.fact, ws.risk, points=24)).drop("risk_levels"),
+        lambda ws: V.timeline_summary(V.grid_timeline(ws.stored.fact, ws.stored.risk)).drop("risk_levels"),
         f"""SELECT grid_id, count(*) AS points, {T('min(event_time)')} AS period_start, {T('max(event_time)')} AS period_end,
             {R('min(total)')} AS minimum_total_activity, {R('max(total)')} AS maximum_total_activity,
             {R('avg(total)')} AS average_total_activity, {R('min(risk_score)')} AS risk_score_min,
@@ -128,25 +128,20 @@ QUERIES = {
         f"""SELECT grid_id, count(*) AS alert_count, {_counts('severity', 'severity', S.SEVERITIES)},
             {T('min(timestamp)')} AS first_alert, {T('max(timestamp)')} AS last_alert FROM alerts GROUP BY 1"""),
     "hotspots_asof": (
-        lambda ws: V.hotspots(ws.fact, ws.risk).drop("reason"),
+        lambda ws: V.hotspots(ws.stored.fact, ws.stored.risk).drop("reason"),
         f"""SELECT h.grid_id, {T('h.event_time')} AS timestamp, {_POINT}, CASE WHEN total > 0 THEN 'ACTIVE' ELSE 'NORMAL' END AS status,
             {_RISK} FROM (SELECT * FROM fact WHERE event_time = {_AT} ORDER BY total DESC, grid_id LIMIT 10) h
             LEFT JOIN risk r ON r.grid_id = h.grid_id AND r.timestamp = h.event_time"""),
     "alerts_asof": (
-        lambda ws: V.alert_listing(ws.alerts, ws.risk, ws.as_of).drop("reason"),
+        lambda ws: V.alert_listing(ws.stored.alerts, ws.stored.risk, ws.stored.as_of).drop("reason"),
         f"""SELECT a.grid_id, {T('a.timestamp')} AS timestamp, {R('cur')} AS total_activity, severity,
-            alert_type AS status, {_RISK} FROM (SELECT * FROM last_alert ORDER BY CASE severity WHEN 'HIGH' THEN 1
-              WHEN 'MEDIUM' THEN 2 ELSE 3 END, timestamp DESC, grid_id DESC LIMIT 10000) a
-            LEFT JOIN risk r ON r.grid_id = a.grid_id AND r.timestamp = a.timestamp"""),
+            alert_type AS status, {_RISK} FROM last_alert a LEFT JOIN risk r ON r.grid_id = a.grid_id AND r.timestamp = a.timestamp"""),
     "all_alerts_listing": (
-        lambda ws: V.alert_listing(ws.alerts, ws.risk, ws.as_of, limit=100, latest_only=False,
-                                   order="text").drop("reason"),
+        lambda ws: V.alert_listing(ws.stored.alerts, ws.stored.risk, ws.stored.as_of, latest_only=False, order="text").drop("reason"),
         f"""SELECT a.grid_id, {T('a.timestamp')} AS timestamp, {R('cur')} AS total_activity, severity,
-            alert_type AS status, {_RISK} FROM (SELECT * FROM alerts ORDER BY severity DESC, timestamp DESC,
-              grid_id DESC, rule LIMIT 100) a
-            LEFT JOIN risk r ON r.grid_id = a.grid_id AND r.timestamp = a.timestamp"""),
+            alert_type AS status, {_RISK} FROM alerts a LEFT JOIN risk r ON r.grid_id = a.grid_id AND r.timestamp = a.timestamp"""),
     "top_movers": (
-        lambda ws: V.top_movers(ws.features, ws.risk, ws.scores, ws.as_of),
+        lambda ws: V.top_movers(ws.stored.features, ws.stored.risk, ws.stored.scores, ws.stored.as_of),
         f"""SELECT m.grid_id, {T('m.feature_timestamp')} AS timestamp, {R('m.avg_activity')} AS avg_activity,
             {R('m.activity_growth')} AS activity_growth, {R('m.fl')} AS activity_floor, {_RISK},
             {R('a.anomaly_score')} AS anomaly_score, a.anomaly_direction
@@ -161,15 +156,14 @@ QUERIES = {
         f"""SELECT grid_id, {rounded('centroid_latitude', 'centroid_longitude')},
             geometry_reference AS polygon_reference FROM dim_grid"""),
     "map_status": (
-        lambda ws: V.map_status(
-            ws.hourly.groupBy("grid_id").agg(F.sum("total_activity").alias("total_activity")), ws.alerts
-        ).drop("alert_type"),
+        lambda ws: V.map_status(V.hotspots(ws.stored.fact, ws.stored.risk), ws.stored.alerts).select(
+            "grid_id", "total_activity", "alert_timestamp", "operational_status"),
         f"""SELECT h.grid_id, {R('h.total')} AS total_activity, {T('a.timestamp')} AS alert_timestamp,
             CASE a.severity WHEN 'HIGH' THEN 'HIGH' WHEN 'MEDIUM' THEN 'ATTENTION' ELSE 'NORMAL' END AS operational_status
-            FROM (SELECT grid_id, sum(total_activity) AS total FROM hourly GROUP BY 1) h
+            FROM (SELECT * FROM fact WHERE event_time = {_AT} ORDER BY total DESC, grid_id LIMIT 10) h
             LEFT JOIN last_alert a ON a.grid_id = h.grid_id"""),
     "explain_grid": (
-        lambda ws: V.explain_grids(ws.fact, ws.risk, ws.scores, ws.dim_grid).drop(
+        lambda ws: V.explain_grids(ws.stored.fact, ws.stored.risk, ws.stored.scores, ws.stored.dim_grid).drop(
             "severity_reason", "next_checks"),
         f"""SELECT g.grid_id, {T('g.event_time')} AS timestamp, {R('g.total')} AS current_activity, {R('base')} AS baseline_activity,
             {R('ratio')} AS activity_ratio, {R('rs')} AS ml_risk_score, {R('anomaly_score')} AS anomaly_score,
@@ -189,7 +183,7 @@ QUERIES = {
                   LEFT JOIN anomalies a ON a.grid_id = f.grid_id AND a.timestamp = f.event_time
                   LEFT JOIN dim_grid d ON d.grid_id = f.grid_id WHERE f.rn = 1) g"""),
     "review_anomaly": (
-        lambda ws: _cast(V.review_anomalies(ws.fact, ws.risk, ws.scores).select(
+        lambda ws: _cast(V.review_anomalies(ws.stored.fact, ws.stored.risk, ws.stored.scores).select(
             *S.KEYS, "total_activity", "baseline_activity", "rule_triggered", "classifier_positive",
             "anomaly_elevated", "agreement", "anomaly_side", "disagreement_analysis"),
             classifier_positive="string", anomaly_elevated="string", agreement="string"),
@@ -209,7 +203,7 @@ QUERIES = {
             "CAST(rule = model AND rule = odd AND model IS NOT NULL AND odd IS NOT NULL AS VARCHAR) AS agreement_raw",
             "CAST(CASE WHEN model IS NOT NULL AND odd IS NOT NULL THEN rule = model AND rule = odd END AS VARCHAR) AS agreement")),
     "evidence_point": (
-        lambda ws: _cast(V.evidence_points(ws.fact, ws.features, ws.scores), anomaly_flag="bigint"),
+        lambda ws: _cast(V.evidence_points(ws.stored.fact, ws.stored.features, ws.stored.scores), anomaly_flag="bigint"),
         f"""SELECT f.grid_id, {T('f.event_time')} AS timestamp, {R('f.total')} AS current_activity,
             {rounded('avg_activity', 'activity_growth', 'peak_ratio', 'variability', prefix='w.')},
             {rounded('baseline_activity', 'anomaly_score', prefix='a.')}, a.anomaly_direction,
@@ -217,9 +211,9 @@ QUERIES = {
             LEFT JOIN wfeat w ON w.grid_id = f.grid_id AND w.feature_timestamp = f.event_time
             LEFT JOIN anomalies a ON a.grid_id = f.grid_id AND a.timestamp = f.event_time"""),
     "evidence_package": (
-        lambda ws: V.evidence_json(_packages(ws)), None),
+        lambda ws: V.evidence_json(_packages(ws.stored)), None),
     "evidence_package_fields": (
-        lambda ws: _packages(ws).select(
+        lambda ws: _packages(ws.stored).select(
             "grid_id",
             F.col("current_interval_metrics.total_activity").alias("current_activity"),
             F.col("grid_features.avg_activity").alias("avg_activity"),
@@ -251,7 +245,7 @@ QUERIES = {
             FROM (SELECT grid_id, max(event_time) AS t FROM fact GROUP BY 1) s"""),
     "warehouse_health": (
         lambda ws: runs.warehouse_health(
-            ws.fact, clean.split_rejects(ws.corrupted)[1], NOW
+            ws.stored.fact, clean.split_rejects(ws.stored.corrupted)[1], NOW
         ).withColumn("rejected_reasons", F.array_join("rejected_reasons", ",")),
         f"""SELECT {T('t')} AS last_run, n AS warehouse_rows, CASE WHEN h < 24 THEN 'healthy' WHEN h < 72 THEN 'warning'
             ELSE 'failure' END AS status, {R('h')} AS staleness_hours, b AS rejected_rows, rs AS rejected_reasons,
@@ -261,7 +255,7 @@ QUERIES = {
               (SELECT count(reject_reason) FROM bad) AS b,
               (SELECT string_agg(DISTINCT reject_reason, ',' ORDER BY reject_reason) FROM bad) AS rs FROM fact) s"""),
     "publication_record": (
-        lambda ws: _record(ws).select(
+        lambda ws: _record(ws.stored).select(
             "status", "healthy", "as_of", "quality_check", "rows_in", "rows_rejected", "nulls_handled",
             "rows_published", F.size("reasons").cast("bigint").alias("failed_checks")),
         """SELECT 'SUCCESS' AS status, true AS healthy, strftime(t, '%Y-%m-%dT%H:%M:%S') AS as_of, 'PASS' AS quality_check,
@@ -289,15 +283,15 @@ QUERIES = {
             CASE WHEN few THEN 'SUCCESS' ELSE 'FAILED' END AS quality_check,
             CASE WHEN few THEN 'SUCCESS' ELSE 'UNKNOWN' END AS notify FROM ({_DAY_SQL}) r"""),
     "attention_top20": (
-        lambda ws: _cast(V.attention_report(ws.risk, ws.features, VERSION).drop("reason"), rank="bigint"),
+        lambda ws: _cast(V.attention_report(ws.stored.risk, ws.stored.features, VERSION).drop("reason"), rank="bigint"),
         f"""SELECT t.rank, t.grid_id, {T('t.timestamp')} AS timestamp, {R('t.risk_score')} AS risk_score, t.risk_level,
             t.model_version, {rounded('avg_activity', 'activity_growth', 'peak_ratio', 'variability', 'internet_share', prefix='w.')}
             FROM (SELECT *, row_number() OVER (ORDER BY risk_score DESC, timestamp DESC, grid_id) AS rank FROM risk) t
             LEFT JOIN wfeat w ON w.grid_id = t.grid_id AND w.feature_timestamp = t.timestamp WHERE t.rank <= 20"""),
     # --- trained model: no exact SQL, results are checked in the tests
-    "risk_scores": (lambda ws: _model_scores(ws)[1], None),
-    "request_scores": (lambda ws: _request_scores(ws), None),
-    "feature_importance": (lambda ws: learning.feature_importance(_model_scores(ws)[0]), None),
+    "risk_scores": (lambda ws: _model_scores(ws.stored)[1], None),
+    "request_scores": (lambda ws: _request_scores(ws.stored), None),
+    "feature_importance": (lambda ws: learning.feature_importance(_model(ws.stored)), None),
 }
 
 

@@ -1,6 +1,9 @@
 """Session settings and the shared folder used to cut lineage."""
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="hourgrid-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -41,3 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and go on from the files; survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, for frames that several others are derived from.
+
+    Each call has a folder of its own, so nothing is carried over from one query to the next.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

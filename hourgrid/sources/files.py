@@ -66,8 +66,8 @@ def read_table(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def read_geojson(spark: SparkSession, path: str, expected: int | None = S.N_CELLS) -> DataFrame:
-    """Grid lookup (grid_id, geometry text) of a feature collection.
+def read_geojson(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
+    """Grid lookup (grid_id, geometry text) of a feature collection; of a repeated id the geometry first in text order.
 
     The id is `properties.cellId`, never the feature's own id. A collection is one JSON
     document, so it is read by one task; its size is that of the map, not of the data.
@@ -81,7 +81,9 @@ def read_geojson(spark: SparkSession, path: str, expected: int | None = S.N_CELL
         F.coalesce(props["cellId"], props["grid_id"], props["gridId"], props["id"])
         .alias("grid_id"),
         F.col("feature.geometry").alias("geometry"),
-    ).filter("grid_id IS NOT NULL AND geometry IS NOT NULL").dropDuplicates(["grid_id"])
+    ).filter("grid_id IS NOT NULL AND geometry IS NOT NULL").groupBy("grid_id").agg(
+        F.min("geometry").alias("geometry")
+    )
     if expected is not None:
         cells = lookup.count()
         if cells != expected:

@@ -1,5 +1,6 @@
 """Writing tables, reports, audit rows and keyed updates."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hourgrid import schema as S
@@ -64,15 +65,28 @@ def upsert_by_date(spark: SparkSession, new: DataFrame, path: str, keys=S.KEYS)
     """Insert or replace rows of a Parquet table partitioned by the date of `timestamp`.
 
     Only the dates that `new` touches are read and rewritten. The merged rows are cut
-    from their sources in the shared folder first, so no plan overwrites what it reads.
+    from their sources in the shared folder first, so no plan overwrites what it reads. The keys
+    are a primary key: NULL and repeated keys in `new` are refused before anything is written.
     """
     dated = new.withColumn("date", F.to_date("timestamp"))
+    missing = F.col("date").isNull()
+    for key in keys:
+        missing |= F.col(key).isNull()
+    if dated.filter(missing).limit(1).count():
+        raise ValueError(f"NULL in the keys {list(keys)} of new rows")
+    if dated.groupBy(*keys).count().filter("count > 1").limit(1).count():
+        raise ValueError(f"repeated keys {list(keys)} in new rows")
     # Calendar days: a list this short may pass through the driver.
     touched = [r["date"] for r in dated.select("date").distinct().collect()]
     if not touched:
         return
-    stored = spark.read.schema(dated.schema).parquet(path)
-    old = stored.filter(F.col("date").isin(touched)).select(*dated.columns)
+    try:
+        table = spark.read.schema(dated.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        table = spark.createDataFrame([], dated.schema)
+    old = table.filter(F.col("date").isin(touched)).select(*dated.columns)
     write_by_date(cut_lineage(merge_scores(old, dated, keys)), path, sort=keys)
 
 

@@ -143,18 +143,27 @@ def test_geojson(spark, tmp_path):
     assert means["5"] == pytest.approx(5.4)
     assert geo.centroids_by_box(lookup).count() == 4
     with pytest.raises(ValueError, match="5 cells"):
-        files.read_geojson(spark, path)
+        files.read_geojson(spark, path, expected=10_000)
     distances = geo.neighbour_distances(lookup).collect()
     assert len(distances) == 4 and all(r["distance"] == pytest.approx(1.0) for r in distances)
 
 
-def test_broadcast_only_when_measured_small(spark):
+def test_geometry_join_strategies(spark):
     small = spark.range(10).select(F.col("id").cast("string").alias("grid_id"), F.lit("{}").alias("geometry"))
     rows = spark.range(100).select(F.col("id").cast("string").alias("grid_id"))
-    assert geo.fits_broadcast(small) and not geo.fits_broadcast(small, 50)
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan(geo.attach_geometry(rows, small, "broadcast"))
-    assert "SortMergeJoin" in plan(geo.attach_geometry(rows, small, "broadcast", max_bytes=50))
+    assert "SortMergeJoin" in plan(geo.attach_geometry(rows, small, "merge"))
+    assert geo.attach_geometry(rows, small).count() == 100
+    with pytest.raises(ValueError):
+        geo.attach_geometry(rows, small, "other")
+
+
+def test_geojson_repeated_id_by_rule(spark, tmp_path):
+    cell = lambda i, x: {"type": "Feature", "properties": {"cellId": i}, "geometry": {"type": "Point", "coordinates": [x, 0]}}
+    path = tmp_path / "twice.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [cell(1, 9), cell(1, 2), cell(2, 3)]}))
+    got = {r["grid_id"]: json.loads(r["geometry"])["coordinates"][0] for r in files.read_geojson(spark, str(path)).collect()}
+    assert got == {"1": 2, "2": 3}
 
 
 def scores(spark, rows):
@@ -181,6 +190,16 @@ def test_upsert_touches_only_its_dates(spark, tmp_path):
     assert [(r["date"], r["rows"]) for r in listed] == [("2024-01-01", 3), ("2024-01-02", 1)]
 
 
+def test_upsert_refuses_null_and_repeated_keys(spark, tmp_path):
+    path = str(tmp_path / "risk")
+    good = scores(spark, [("1", "2024-01-01 00:00:00", 0.1)])
+    sinks.upsert_by_date(spark, good, path)  # makes the table
+    for rows in ([("1", "2024-01-01 00:00:00", 0.2)] * 2, [("2", None, 0.2)], [(None, "2024-01-01 00:00:00", 0.2)]):
+        with pytest.raises(ValueError):
+            sinks.upsert_by_date(spark, scores(spark, rows), path)
+    assert [r["risk_score"] for r in spark.read.parquet(path).collect()] == [0.1]
+
+
 def test_large_date_is_split(spark, tmp_path):
     """One date with nearly all rows goes to several files; the rebalance hint splits it."""
     rows = spark.range(400_000).select(
@@ -278,11 +297,48 @@ def test_daily_job(spark, tmp_path):
     assert {(r["grid_id"], r["total_activity"], r["risk_level"]) for r in top.collect()} == {
         ("1", 94.0, "ATTENTION"), ("2", 96.0, "ATTENTION")}
     plan = top.select("*")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("PartitionFilters: [isnotnull(date") == 2  # facts and scores of one date
+    assert plan.count("PartitionFilters: [isnotnull(date") == 3  # facts (rows and keys) and scores of one date
     assert serving.grid_drilldown(fact, 2, "2013-11-02 05:00:00").count() == 24
     assert serving.network_summary(fact).first()["active_grids"] == 2
 
 
+def test_gated_daily_job(spark, tmp_path):
+    """Good, faulty, short and repeated files; a second run changes nothing; a broken run leaves its record."""
+    from hourgrid.operators import learning
+
+    landing, out, clean_to = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "clean")
+    landing.mkdir()
+
+    def day(d, extra=()):
+        write(landing, d, [f"2013-11-{d:02d} {h:02d}:00:00,{c},39,{h % 7}.5,{c},1,{h * c % 11},2"
+                           for h in range(24) for c in (1, 2)] + list(extra))
+
+    for d in (1, 2, 3, 4):
+        day(d)
+    day(5, ["bad,1,39,1,,,,"])
+    short = landing / "sms-call-internet-mi-2013-11-06.csv"
+    short.write_text("datetime,CellID\n2013-11-06 00:00:00,1\n")
+    record = daily.run(spark, str(landing), clean_to, out, now="2013-11-07 00:00:00", gated=True).first()
+    assert record["healthy"] and record["rows_in"] == 4 * 48
+    audit = {r["filename"][-6:-4]: (r["status"], r["row_count"]) for r in spark.read.parquet(f"{out}/ingest_audit").collect()}
+    assert audit["01"] == ("ACCEPTED", 48) and audit["05"] == ("REJECTED", 49) and audit["06"][0] == "REJECTED"
+    before = sorted(p.name for p in (tmp_path / "out" / "hourly_grid_summary").rglob("*.parquet"))
+    again = daily.run(spark, str(landing), clean_to, out, now="2013-11-08 00:00:00", gated=True).first()
+    assert again["timestamp"] == record["timestamp"]
+    assert sorted(p.name for p in (tmp_path / "out" / "hourly_grid_summary").rglob("*.parquet")) == before
+    features = spark.read.parquet(f"{out}/network_feature_table")
+    labelled = features.withColumn("HIGH_ACTIVITY", (F.hour("feature_timestamp") % 2).cast("int"))
+    model = learning.fit_classifier(labelled, trees=2)
+    risk = daily.score(spark, {"network_feature_table": features}, out, model, "v1")
+    assert risk.count() == features.count()
+    assert daily.score(spark, {"network_feature_table": features}, out, model, "v2").select("model_version").distinct().collect()[0][0] == "v2"
+    (landing / "sms-call-internet-mi-2013-11-09.csv").write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        daily.run(spark, str(landing), clean_to, out, now="2013-11-09 00:00:00", gated=True)
+    failed = files.read_status(spark, f"{out}/pipeline_status").first()
+    assert failed["status"] == "FAILED" and failed["failed_task"] == "ingest"
+
+
 def test_strict_policies(spark):
     raw = spark.createDataFrame(
         [("2024-01-01 00:00:00", "1", "39", "-1", None, None, None, "x"),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourgrid.functions import columns as C, geometry as G
-from hourgrid.functions.keys import dense_keys
+from hourgrid.functions.keys import dense_keys, text_ranges
 from hourgrid.functions.quantiles import bucket_median, exact_percentile, leave_one_out_median
 
 
@@ -51,9 +51,14 @@ def test_exact_percentile(spark, share, kind):
     df = spark.createDataFrame(pd.DataFrame({"x": values}))
     want = np.quantile(values, share)
     assert exact_percentile(df, "x", share, "p").first()["p"] == pytest.approx(want, abs=1e-12)
-    if kind != "tiny":  # the sketch bracket instead of the whole range
-        bracketed = exact_percentile(df, "x", share, "p", accuracy=100, small=0)
-        assert bracketed.first()["p"] == pytest.approx(want, abs=1e-12)
+    for ranges in (2, 50):
+        assert exact_percentile(df, "x", share, "p", ranges).first()["p"] == pytest.approx(want, abs=1e-12)
+
+
+def test_exact_percentile_of_a_million_rows(spark):
+    df = spark.range(1_000_000).select((F.pmod(F.xxhash64("id"), F.lit(10_000_019)) / 7).alias("x"))
+    want = np.quantile(df.toPandas().x.to_numpy(), 0.1)
+    assert exact_percentile(df, "x", 0.1, "p").first()["p"] == pytest.approx(want, rel=1e-12)
 
 
 def test_exact_percentile_of_nothing(frame):
@@ -67,6 +72,22 @@ def test_dense_keys_follow_text_order(spark):
     assert list(got.g) == sorted(str(i) for i in range(1, 1201))
 
 
+@pytest.mark.parametrize("template", ["MI-%06d", "%d", "ä%d", "x"])
+def test_keys_by_text_ranges(spark, template):
+    ids = spark.createDataFrame([(template % i if "%" in template else template + "y" * i,) for i in range(700)], "g string")
+    placed = text_ranges(ids, "g")
+    got = dense_keys(placed, ["g"], "k", None).toPandas().sort_values("k")
+    assert list(got.k) == list(range(1, 701)) and list(got.g) == sorted(got.g, key=str.encode)
+    if "%06d" in template:  # one common prefix still spreads over the ranges
+        sizes = placed.groupBy("_bucket").count().toPandas()["count"]
+        assert len(sizes) >= 4 and sizes.max() < 300
+
+
+def test_keys_of_nothing_and_of_one(frame):
+    assert dense_keys(text_ranges(frame([], "g string"), "g"), ["g"], "k", None).count() == 0
+    assert dense_keys(text_ranges(frame([("a",)], "g string"), "g"), ["g"], "k", None).first()["k"] == 1
+
+
 def test_centroids(frame):
     ring = "[[0,0],[4,0],[4,2],[0,2],[0,0]]"
     rows = [("1", f'{{"type":"Polygon","coordinates":[{ring}]}}'),

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, differences
+from hourgrid.plans import catalog
 
 TRAINED = {"risk_scores", "request_scores", "feature_importance"}
 
@@ -17,17 +18,33 @@ def oracle(folder):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.comparison_sql()))
 def test_matches_sql(spark, folder, oracle, name):
-    got = entry.queries()[name](spark, folder).toPandas()
-    assert differences(got, oracle.execute(entry.oracle_sql()[name]).df()) == ""
+    got = catalog.registered()[name](spark, folder).toPandas()
+    assert differences(got, oracle.execute(catalog.comparison_sql()[name]).df()) == ""
 
 
 def test_without_sql_have_rows(spark, folder):
-    rest = set(entry.queries()) - set(entry.oracle_sql()) - TRAINED
+    rest = set(catalog.registered()) - set(catalog.comparison_sql()) - TRAINED
     assert rest == {"rule_alert_reasons", "anomaly_reasons", "evidence_package"}
     for name in rest:
-        assert entry.queries()[name](spark, folder).limit(1).count() == 1
+        assert catalog.registered()[name](spark, folder).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("name", ["hotspots_asof", "top_movers", "attention_top20", "top_grids_geo"])
+def test_top_rows_are_broadcast_to_the_table(spark, folder, name):
+    """The large side of a top-k result is neither exchanged nor sorted for the join."""
+    plan = catalog.registered()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "RightOuter" not in plan
+
+
+@pytest.mark.parametrize("name", ["fact_activity", "wh_top_grids", "alerts_asof", "three_way_comparison", "top_movers",
+                                  "explain_grid", "hotspots_asof", "evidence_package_fields"])
+def test_raw_events_are_read_once(spark, folder, name):
+    """Composite queries write the hourly table first; their own plan reads no raw events."""
+    plan = catalog.registered()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    events = plan.count("event_type")
+    assert events == 0 or name == "evidence_package_fields"
 
 
 def test_entry(spark):
