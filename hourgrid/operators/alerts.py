@@ -37,8 +37,12 @@ def day_baseline(hourly: DataFrame) -> DataFrame:
     return leave_one_out_median(hourly, ["grid_id", "date"], X, "baseline_activity")
 
 
-def _number(value: Column) -> Column:
-    return F.format_string("%.2f", value)
+# The texts stored with alerts.
+REASONS = {
+    "HIGH_ACTIVITY": "Current activity %.2f is at least %.2fx the within-day baseline %.2f.",
+    "ACTIVITY_SPIKE": "Activity increased from %.2f to %.2f, at least %.2fx the previous hour.",
+    "ACTIVITY_DROP": "Current activity %.2f is at or below %.2fx the within-day baseline %.2f.",
+}
 
 
 def rule_alerts(hourly: DataFrame, floor: Column | float | None = None) -> DataFrame:
@@ -66,18 +70,13 @@ def rule_alerts(hourly: DataFrame, floor: Column | float | None = None) -> DataF
 
 
 def _reason() -> Column:
-    now, before, base = (_number(F.col(c)) for c in
-                         ("current_activity", "previous_activity", "baseline_activity"))
-    baseline = F.concat(F.lit("x the within-day baseline "), base, F.lit("."))
-    texts = {
-        "HIGH_ACTIVITY": F.concat(
-            F.lit("Current activity "), now, F.lit(f" is at least {S.HIGH_MULTIPLIER:.2f}"), baseline),
-        "ACTIVITY_SPIKE": F.concat(
-            F.lit("Activity increased from "), before, F.lit(" to "), now,
-            F.lit(f", at least {S.SPIKE_MULTIPLIER:.2f}x the previous hour.")),
-        "ACTIVITY_DROP": F.concat(
-            F.lit("Current activity "), now, F.lit(f" is at or below {S.DROP_MULTIPLIER:.2f}"), baseline),
+    now, before, base = (F.col(c) for c in ("current_activity", "previous_activity", "baseline_activity"))
+    values = {
+        "HIGH_ACTIVITY": (now, F.lit(S.HIGH_MULTIPLIER), base),
+        "ACTIVITY_SPIKE": (before, now, F.lit(S.SPIKE_MULTIPLIER)),
+        "ACTIVITY_DROP": (now, F.lit(S.DROP_MULTIPLIER), base),
     }
+    texts = {kind: F.format_string(REASONS[kind], *values[kind]) for kind in REASONS}
     return reduce(lambda acc, kv: acc.when(F.col("alert_type") == kv[0], kv[1]), texts.items(), F)
 
 

@@ -18,19 +18,20 @@ def anomaly_direction(score: Column) -> Column:
     )
 
 
+# The texts stored with scores.
+REASON_UNKNOWN = "No historical baseline available."
+REASON_HIGH = "Activity %.2f is %.1f%% above the hour-of-day baseline (%.2f)."
+REASON_LOW = "Activity %.2f is %.1f%% below the hour-of-day baseline (%.2f)."
+REASON_NORMAL = "Activity %.2f is within the ±50%% normal range around the baseline (%.2f)."
+
+
 def anomaly_reason() -> Column:
     score, base = F.col("anomaly_score"), F.col("baseline_activity")
     return (
-        F.when(base.isNull(), "No historical baseline available.")
-        .when(F.col("anomaly_direction") == "HIGH", F.format_string(
-            "Activity %.2f is %.1f%% above the hour-of-day baseline (%.2f).",
-            F.col(X), score * 100, base))
-        .when(F.col("anomaly_direction") == "LOW", F.format_string(
-            "Activity %.2f is %.1f%% below the hour-of-day baseline (%.2f).",
-            F.col(X), F.abs(score) * 100, base))
-        .otherwise(F.format_string(
-            f"Activity %.2f is within the ±{S.ANOMALY_THRESHOLD * 100:.0f}%% "
-            "normal range around the baseline (%.2f).", F.col(X), base))
+        F.when(base.isNull(), REASON_UNKNOWN)
+        .when(F.col("anomaly_direction") == "HIGH", F.format_string(REASON_HIGH, F.col(X), score * 100, base))
+        .when(F.col("anomaly_direction") == "LOW", F.format_string(REASON_LOW, F.col(X), F.abs(score) * 100, base))
+        .otherwise(F.format_string(REASON_NORMAL, F.col(X), base))
     )
 
 

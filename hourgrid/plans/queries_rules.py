@@ -24,6 +24,24 @@ def _values(pairs):
     return "(VALUES " + ", ".join(f"('{v}', {i})" for i, v in enumerate(pairs)) + ") v(name, i)"
 
 
+_NUMBER = "[0-9]+(?:[.][0-9]+)?"
+# Which number of a text shows which column.
+_AROUND = {1: "current_activity", 3: "baseline_activity"}
+_SCORED = {1: "total_activity", 3: "baseline_activity"}
+
+
+def _texts(df, shown, kind):
+    """The texts with every number as #, and whether the numbers are those of the row (to the digits shown)."""
+    numbers = F.regexp_extract_all("reason", F.lit(f"({_NUMBER})"), F.lit(1))
+    agree = F.lit(True)
+    for value, places in shown.items():
+        for place, column in places.items():
+            near = F.abs(F.element_at("_n", place).cast("double") - F.col(column)) <= 0.0051
+            agree &= F.when(F.col(kind) == value, near).otherwise(True)
+    return df.withColumn("_n", numbers).withColumns({
+        "wording": F.regexp_replace("reason", _NUMBER, "#"), "numbers_agree": F.coalesce(agree, F.lit(False))})
+
+
 QUERIES = {
     # --- baselines and alerts
     "loo_median_day": (
@@ -53,7 +71,13 @@ QUERIES = {
             FROM hourly h JOIN days d ON d.grid_id = h.grid_id AND d.date = h.date"""),
     "rule_alerts": (
         lambda ws: ws.alerts.drop("reason"), f"SELECT {_ALERT} FROM alerts"),
-    "rule_alert_reasons": (lambda ws: ws.alerts, None),
+    "rule_alert_reasons": (
+        lambda ws: _texts(ws.alerts, {"ACTIVITY_SPIKE": {2: "current_activity"}, "HIGH_ACTIVITY": _AROUND, "ACTIVITY_DROP": _AROUND},
+                          "alert_type").select(*S.KEYS, "alert_type", "wording", "numbers_agree"),
+        f"""SELECT grid_id, {T('timestamp')} AS timestamp, alert_type, CASE alert_type
+            WHEN 'HIGH_ACTIVITY' THEN 'Current activity # is at least #x the within-day baseline #.'
+            WHEN 'ACTIVITY_SPIKE' THEN 'Activity increased from # to #, at least #x the previous hour.'
+            ELSE 'Current activity # is at or below #x the within-day baseline #.' END AS wording, true AS numbers_agree FROM alerts"""),
     "alert_summary": (
         lambda ws: AL.alert_summary(ws.alerts, ws.hourly),
         f"""SELECT a AS alerts, k AS alerting_grid_hours, n AS grid_hours, {R(ratio('k', 'n'))} AS alerting_rate
@@ -75,7 +99,14 @@ QUERIES = {
         f"""SELECT grid_id, {T('timestamp')} AS timestamp, {R(X)} AS total_activity, hour_of_day,
             {R('baseline_activity')} AS baseline_activity, {R('anomaly_score')} AS anomaly_score, anomaly_direction,
             CAST(anomaly_flag AS BIGINT) AS anomaly_flag FROM anomalies"""),
-    "anomaly_reasons": (lambda ws: ws.scores.select(*S.KEYS, "reason"), None),
+    "anomaly_reasons": (
+        lambda ws: _texts(ws.scores.withColumn("kind", F.when(F.col("baseline_activity").isNull(), "NONE").otherwise(
+            F.col("anomaly_direction"))), {"HIGH": _SCORED, "LOW": _SCORED, "NORMAL": _SCORED, "NONE": {}}, "kind").select(
+                *S.KEYS, "wording", "numbers_agree"),
+        f"""SELECT grid_id, {T('timestamp')} AS timestamp, CASE WHEN baseline_activity IS NULL THEN 'No historical baseline available.'
+            WHEN anomaly_direction = 'HIGH' THEN 'Activity # is #% above the hour-of-day baseline (#).'
+            WHEN anomaly_direction = 'LOW' THEN 'Activity # is #% below the hour-of-day baseline (#).'
+            ELSE 'Activity # is within the ±#% normal range around the baseline (#).' END AS wording, true AS numbers_agree FROM anomalies"""),
     "anomaly_direction_counts": (
         lambda ws: AN.category_counts(ws.scores, "anomaly_direction", S.DIRECTIONS),
         f"""SELECT name AS anomaly_direction, count(a.grid_id) AS rows FROM {_values(S.DIRECTIONS)}
