@@ -56,6 +56,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a letter category occurs; signs such as a fraction are not letters."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def _features(text: str):
     def sparse(batches):
         for batch in batches:
@@ -168,8 +173,7 @@ def _predict(text: str, shared):
                 best += [model.languages[i] for i in p.argmax(axis=1).tolist()]
                 score += p.max(axis=1).tolist()
             texts = batch.column(text).to_pylist()
-            letters = [lang is not None and t is not None and LETTER.search(t) is not None
-                       for t, lang in zip(texts, best, strict=True)]
+            letters = [lang is not None and t is not None and has_letter(t) for t, lang in zip(texts, best, strict=True)]
             best = [b if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
             score = [s if ok else 0.0 for s, ok in zip(score, letters, strict=True)]
             accepted = [ok and s >= model.threshold for s, ok in zip(score, letters, strict=True)]

@@ -154,6 +154,7 @@ def test_language_id_cases(odd, frame):
         assert (r.lang_pred == "und") == (r.text is None or not re.search(r"[^\W\d_]", r.text))
     asked = langid.identify(frame([(1, "the that of and"), (2, "der und nicht")], "doc_id long, text string"), model)
     assert [r.lang_pred for r in asked.orderBy("doc_id").collect()] == ["en", "de"]
+    assert [langid.has_letter(t) for t in ("½ ²", "12_3", "½ é", "漢")] == [False, False, True, True]
     empty = langid.fit(odd)
     assert {(r.lang_pred, r.score) for r in langid.identify(odd, empty).collect()} == {("und", 0.0)}
 
