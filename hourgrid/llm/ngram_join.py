@@ -2,14 +2,16 @@
 
 Documents with equal shingle sets form a class with the smallest id as representative; the join runs on classes.
 Two sets that reach the similarity share a shingle among the first quarter (at similarity 3/4) of either in any common
-order of shingles, so a class is dealt to one group for each shingle of that part. Shingles found often in a
+order of shingles, so classes meet at each shingle of that part. Shingles found often in a
 sample of the documents come last in the order, which keeps passages that many documents share out of that part;
 the order changes only the cost, never the result.
 
-1. Each class is compared with the smallest class of each of its groups. Links found give provisional components.
-2. In groups that still hold several components, classes are sorted by size and cut into tiles of `TILE` by `TILE` rows
-   (bands of sizes). Bitmaps of a tile are compared: bits set on one side only bound the overlap from above. Pairs of
-   different components that pass are compared exactly.
+1. The least class of a shingle anchors the others with that shingle. Each class is compared with its anchors; links
+   found give provisional components.
+2. The classes of an anchor that still lie in several components are sorted by size and cut into bands of bounded weight;
+   two bands whose sizes can link make a tile. Bitmaps of a tile are compared: bits set on one side only bound the overlap from
+   above. Rows with a pair of different components that passes get their texts, and the tile compares such pairs
+   exactly, the likeliest first; components that a link joins are not compared again.
 
 A pair inside one provisional component needs no test, since only reachability is asked. Exact comparison intersects the
 sorted shingle arrays, made from the two whole texts. Signatures are 64-bit hashes of shingles throughout.
@@ -23,15 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hourgrid.llm import graph, storage, words
 
 WIDTH = 5
 SIMILARITY = (75, 100)
-TILE = 1024
+TILE = 1024  # sets of at most LEAST_WEIGHT shingles in a band; fewer larger ones
+LEAST_WEIGHT = 500
 COMMON_EVERY = 8  # one document of so many is read for the common shingles
 COMMON_SHARE = 1 / 500  # of the documents read
 WIDEST = 1 << 15  # bits of a bitmap
+SIGNED = "doc_id long, n long, s1 long, s2 long, first array<long>, bits binary"
 
 
 def needed(a, b):
@@ -98,7 +103,7 @@ def _sign(shared):
     """(doc_id, n, s1, s2, first shingles, bitmap) of each text; s1 and s2 identify the set."""
 
     def sign(batches):
-        common = shared.value
+        common = shared.value  # None: names only
         for batch in batches:
             rows = {"n": [], "s1": [], "s2": [], "first": [], "bits": []}
             for shingles in text_shingles(batch.column("text")):
@@ -106,7 +111,7 @@ def _sign(shared):
                 rows["n"].append(n)
                 rows["s1"].append(int(words.mix(shingles).sum(dtype=np.uint64).view(np.int64)))
                 rows["s2"].append(int(words.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                if n:
+                if n and common is not None:
                     if len(common):
                         at = np.searchsorted(common, shingles)
                         at[at == len(common)] = 0
@@ -143,44 +148,92 @@ def _pass_bound(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _scan_tiles(batches):
-    """Pairs (a, b) of different components that pass the bound, tile by tile; rows come sorted by tile and size."""
+def _by_tile(batches, names: list[str], handle):
+    """Rows (tuples of `names` without the tile) of one tile after the other, handled; batches come sorted by tile."""
     held, tile = [], None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("tile", "side", "rep", "n", "label", "bits")]
-        out_a, out_b = [], []
-        for row in zip(*columns, strict=True):
+        made = []
+        for row in zip(*[batch.column(c).to_pylist() for c in ["tile", *names]], strict=True):
             if row[0] != tile:
-                _tile_pairs(held, out_a, out_b)
+                made += handle(tile, held)
                 held, tile = [], row[0]
             held.append(row[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-    out_a, out_b = [], []
-    _tile_pairs(held, out_a, out_b)
-    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        yield made
+    yield handle(tile, held)
 
 
-def _tile_pairs(rows: list, out_a: list, out_b: list):
-    """`rows` (side, rep, n, label, bits) of one tile: side 0 within itself, or sides 1 and 2 across."""
-    if len(rows) < 2:
-        return
-    rows.sort(key=lambda r: r[2])
-    side, rep, n, label = (np.array([r[k] for r in rows]) for k in range(4))
+def _windows(side: np.ndarray, rep: np.ndarray, n: np.ndarray, label: np.ndarray, bits: list[bytes]):
+    """(i, j, bound): for each row of a tile, the larger rows of other labels whose bitmaps do not rule out a link.
+
+    Rows come sorted by n. Side 0 stands against itself, side 1 against side 2.
+    """
     low, high = SIMILARITY
-    width = np.array([8 * len(r[4]) for r in rows])
-    for bits in np.unique(width).tolist():
+    width = np.array([8 * len(b) for b in bits])
+    for narrow in np.unique(width).tolist():
         # Rows of at least this width, narrowed to it; the smaller set of a pair has the narrower bitmap.
-        first = int(np.searchsorted(width, bits))
-        last = int(np.searchsorted(n, n[width == bits].max() * high // low, side="right"))
-        maps = np.stack([fold_bitmap(r[4], bits) for r in rows[first:last]])
-        for i in np.flatnonzero(width == bits).tolist():
-            end = int(np.searchsorted(n, n[i] * high // low, side="right"))
-            near = np.arange(i + 1, end)
-            near = near[(label[near] != label[i]) & ((side[near] == 0) | (side[near] != side[i])) & (rep[near] != rep[i])]
+        first = int(np.searchsorted(width, narrow))
+        last = int(np.searchsorted(n, n[width == narrow].max() * high // low, side="right"))
+        maps = np.stack([fold_bitmap(b, narrow) for b in bits[first:last]])
+        for i in np.flatnonzero(width == narrow).tolist():
+            near = np.arange(i + 1, int(np.searchsorted(n, n[i] * high // low, side="right")))
+            near = near[(label[near] != label[i]) & ((side[near] == 0) | (side[near] != side[i]))]
             if len(near):
-                ok = overlap_bound(maps[i - first], n[i], maps[near - first], n[near]) >= needed(n[i], n[near])
-                out_b += rep[near[ok]].tolist()
-                out_a += [int(rep[i])] * int(ok.sum())
+                bound = overlap_bound(maps[i - first], n[i], maps[near - first], n[near])
+                ok = bound >= needed(n[i], n[near])
+                if ok.any():
+                    yield i, near[ok], bound[ok]
+
+
+def _involved(tile, rows: list) -> list[tuple]:
+    """The rows of a tile that have a pair left to compare."""
+    if len(rows) < 2:
+        return []
+    rows.sort(key=lambda r: r[2])
+    side, rep, n, label = (np.array([r[k] for r in rows]) for k in range(4))
+    seen = np.zeros(len(rows), dtype=bool)
+    for i, near, _ in _windows(side, rep, n, label, [r[4] for r in rows]):
+        seen[i] = True
+        seen[near] = True
+    return [(tile, *rows[i][:4]) for i in np.flatnonzero(seen).tolist()]
+
+
+def _scan_tiles(batches):
+    for made in _by_tile(batches, ["side", "rep", "n", "label", "bits"], _involved):
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], t) for k, t in enumerate(kinds)],
+                                         names=["tile", "side", "rep", "n", "label"])
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _tile_links(tile, rows: list) -> list[tuple]:
+    """Links between labels, the likeliest pairs first; labels that a link has joined are not compared again."""
+    if len(rows) < 2:
+        return []
+    rows.sort(key=lambda r: r[2])
+    side, rep, n, label = (np.array([r[k] for r in rows]) for k in range(4))
+    sets = text_shingles(pa.array([r[4] for r in rows], pa.large_string()))
+    links = []
+    for i, near, bound in _windows(side, rep, n, label, [bitmap(x) for x in sets]):
+        for j in near[np.argsort(-bound, kind="stable")].tolist():
+            if label[i] != label[j] and overlap(sets[i], sets[j]) >= needed(len(sets[i]), len(sets[j])):
+                links.append((int(rep[i]), int(rep[j])))
+                label[label == label[j]] = label[i]  # the generator reads the labels as they are now
+    return links
+
+
+def _link_tiles(batches):
+    for made in _by_tile(batches, ["side", "rep", "n", "label", "text"], _tile_links):
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
 def _intersect(batches):
@@ -188,9 +241,7 @@ def _intersect(batches):
     for batch in batches:
         keep = []
         for x, y in zip(text_shingles(batch.column("text_a")), text_shingles(batch.column("text_b")), strict=True):
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            keep.append(int((x[at] == y).sum()) >= needed(len(x), len(y)) if len(x) and len(y) else False)
+            keep.append(len(x) > 0 and len(y) > 0 and overlap(x, y) >= needed(len(x), len(y)))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -201,17 +252,21 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, rep) of every document; (rep, n, first, bits) of each class."""
+    """(doc_id, n, rep) of every document; (rep, n, first, bits) of each class.
+
+    Sets are signed twice, so that the wide columns of copies are never stored.
+    """
     spark = docs.sparkSession
+    none = spark.sparkContext.broadcast(None)
     shared = spark.sparkContext.broadcast(common_shingles(docs))
-    signed = storage.staged(docs.select("doc_id", "text").mapInArrow(
-        _sign(shared), "doc_id long, n long, s1 long, s2 long, first array<long>, bits binary"), "signed")
+    signed = docs.select("doc_id", "text").mapInArrow(_sign(shared), SIGNED)
     # Equal sets have equal first shingles and bitmaps; any row of a class serves, and partial sums keep one per task.
     found = signed.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(
         F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("bits").alias("bits"))
     found = storage.staged(found, "classes")
-    members = signed.select("doc_id", "n", "s1", "s2").join(
-        found.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    names = docs.select("doc_id", "text").mapInArrow(_sign(none), SIGNED).select("doc_id", "n", "s1", "s2")
+    members = names.join(found.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left").select(
+        "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     return members, found.select("rep", "n", "first", "bits")
 
 
@@ -219,54 +274,83 @@ def linked_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members, found = classes_of(docs)
-    # Groups: classes by shared first shingle, with the group's least class. Rows of lonely shingles go.
-    dealt = found.select("rep", F.explode("first").alias("shingle"))
-    by = "shingle"
-    sizes = dealt.groupBy(by).agg(F.min("rep").alias("low"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("rows"))
-    groups = storage.staged(dealt.join(sizes.filter("low < top"), by), "groups")
+    # The least class of a shingle anchors all classes with that shingle; rows of lonely shingles fall away.
+    group = Window.partitionBy("shingle")
+    dealt = found.select("rep", F.explode("first").alias("shingle")).withColumn("low", F.min("rep").over(group))
+    stars = storage.staged(dealt.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     signs = found.select("rep", "n", "bits")
-    stars = groups.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     a, b = (signs.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
     low, high = SIMILARITY
     sized = stars.join(a, "a").join(b, "b").filter(
         (F.col("n_a") * high >= F.col("n_b") * low) & (F.col("n_b") * high >= F.col("n_a") * low))
     near = storage.staged(sized.mapInArrow(_pass_bound, "a long, b long"), "near")
-    # Texts of every class that shares a group with another one.
-    wanted = groups.select("rep").distinct()
-    texts = storage.staged(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").groupBy("rep").agg(
-        F.first("text").alias("text")), "texts")
+    texts = _texts_of(docs, near.select(F.col("a").alias("rep")).union(near.select("b")))
     star_links = storage.staged(_links(near, texts), "links")
-    stars_of = graph.components(star_links)
-    labels = storage.staged(wanted.join(stars_of.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", F.coalesce("component", "rep").alias("label")), "labels")
-    cross = storage.staged(_links(_tile_candidates(groups, signs, labels).distinct(), texts), "links")
-    links = star_links.union(cross)
-    parts = graph.components(links)
+    provisional = graph.components(star_links).select(F.col("node").alias("b"), "component")
+    labelled = stars.join(provisional, "b", "left").select(
+        F.col("a").alias("anchor"), F.col("b").alias("rep"), F.coalesce("component", "b").alias("label"))
+    cross = storage.staged(_tile_comparisons(labelled, signs, docs).distinct(), "links")
+    parts = graph.components(star_links.union(cross))
     return members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def _tile_candidates(groups: DataFrame, signs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different labels in one group that pass the bitmap bound."""
-    from pyspark.sql.window import Window
-
-    spark = groups.sparkSession
-    labelled = groups.select("shingle", "rep").join(labels, "rep")
-    mixed = labelled.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("rows"))
-    rows = labelled.join(mixed.filter("l < m").select("shingle", "rows"), "shingle").join(signs, "rep")
-    small = rows.filter(F.col("rows") <= TILE).select(
-        F.struct("shingle", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("tile"), F.lit(0).alias("side"), "rep", "n", "label", "bits")
-    # Larger groups: bands of TILE rows by size, and a tile for each pair of bands.
-    order = Window.partitionBy("shingle").orderBy("n", "rep")
-    banded = rows.filter(F.col("rows") > TILE).withColumn("band", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
-    last = F.floor((F.col("rows") - 1) / TILE).cast("int")
-    large = banded.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
-        F.struct("shingle", F.least("band", "other").alias("i"), F.greatest("band", "other").alias("j")).alias("tile"),
+def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text) of the documents that stand for the classes `reps`."""
+    ids = storage.staged(reps.distinct(), "reps")
+    return docs.withColumnRenamed("doc_id", "rep").join(storage.sized(ids), "rep", "left_semi").select("rep", "text")
+
+
+def _tile_comparisons(labelled: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different labels at one anchor; `labelled` has anchor, rep and label.
+
+    Texts go to the tiles only for rows that the bitmaps leave with a pair to compare, once for each tile.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.join(signs.select("rep", "n"), "rep")
+    weight = F.greatest("n", F.lit(LEAST_WEIGHT))
+    mixed = rows.groupBy("anchor").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.sum(weight).alias("whole"))
+    rows = storage.staged(rows.join(mixed.filter("l < m").select("anchor", "whole"), "anchor"), "mixed")
+    room = TILE * LEAST_WEIGHT
+    small = rows.filter(F.col("whole") <= room).select(
+        F.struct("anchor", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("tile"), F.lit(0).alias("side"), "rep", "n", "label")
+    # Larger groups: bands by size of like weight, and a tile for each pair of bands whose sizes can link.
+    order = Window.partitionBy("anchor").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1)
+    banded = rows.filter(F.col("whole") > room).select("anchor", "rep", "n", "label", F.floor(
+        F.coalesce(F.sum(weight).over(order), F.lit(0)) / room).cast("int").alias("band"))
+    edges = banded.groupBy("anchor", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    low, high = SIMILARITY
+    other = edges.select("anchor", F.col("band").alias("other"), F.col("least").alias("o_least"), F.col("most").alias("o_most"))
+    tiles = edges.join(other, "anchor").filter(
+        (F.col("o_least") * low <= F.col("most") * high) & (F.col("least") * low <= F.col("o_most") * high))
+    large = banded.join(tiles.select("anchor", "band", "other"), ["anchor", "band"]).select(
+        F.struct("anchor", F.least("band", "other").alias("i"), F.greatest("band", "other").alias("j")).alias("tile"),
         F.when(F.col("band") == F.col("other"), 0).when(F.col("band") < F.col("other"), 1).otherwise(2).alias("side"),
-        "rep", "n", "label", "bits")
-    tiles = small.union(large).select(F.xxhash64("tile").alias("tile"), "side", "rep", "n", "label", "bits")
-    dealt = tiles.repartition(storage.partitions(spark), "tile").sortWithinPartitions("tile", "n")
-    return dealt.mapInArrow(_scan_tiles, "a long, b long")
+        "rep", "n", "label")
+    tiles = small.union(large).select(F.xxhash64("tile").alias("tile"), "side", "rep", "n", "label").join(
+        signs.select("rep", "bits"), "rep").select("tile", "side", "rep", "n", "label", "bits")
+
+    def dealt(df):
+        return df.repartition(storage.partitions(spark), "tile").sortWithinPartitions("tile", "n")
+
+    left = dealt(tiles).mapInArrow(_scan_tiles, "tile long, side int, rep long, n long, label long")
+    left = storage.staged(left, "tiles")
+    return dealt(left.join(_texts_of(docs, left.select("rep")), "rep")).mapInArrow(_link_tiles, "a long, b long")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each group of linked documents, that of the smallest id; rows without id stay."""
+    grouped = linked_components(docs.select("doc_id", "text"))
+    found = storage.staged(grouped.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    ids = found.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    kept = docs.filter("doc_id is not null").join(storage.sized(ids), "doc_id", "left_anti").select(docs.columns)
+    return _first_rows(kept).union(docs.filter("doc_id is null"))
+
+
+def _first_rows(docs: DataFrame) -> DataFrame:
+    """One row for each id; texts are moved only if some id repeats."""
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1)
+    return docs.dropDuplicates(["doc_id"]) if repeated.take(1) else docs
 
 
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:

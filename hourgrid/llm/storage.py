@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hourgrid.session import shared_folder
 
@@ -33,3 +34,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+SMALL_IDS = 2_000_000
+
+
+def sized(rows: DataFrame, most: int = SMALL_IDS) -> DataFrame:
+    """`rows` (a stored table of narrow rows; by default numbers, 16 MB) with a broadcast hint if it has `most` rows at
+    most; else as it is, for a join by exchange."""
+    return F.broadcast(rows) if rows.count() <= most else rows
