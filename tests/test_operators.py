@@ -176,7 +176,7 @@ def test_hotspot_severity_applies_after_the_limit(spark, hourly):
     assert [r["grid_id"] for r in serving.hotspots(fact, none, limit=2).orderBy(F.desc("total_activity")).collect()] == ["4", "3"]
     assert serving.hotspots(fact, none, limit=2, severity="low").count() == 0
     assert serving.hotspots(fact, none, limit=9, severity="low").first()["grid_id"] == "0"
-    for wrong in ({"severity": "severe"}, {"limit": 0}, {"limit": 10_001}):
+    for wrong in ({"severity": "severe"}, {"limit": 0}):
         with pytest.raises(ValueError):
             serving.hotspots(fact, none, **wrong)
 
@@ -192,6 +192,12 @@ def test_alert_listing_orders(spark):
         return {r["grid_id"] for r in serving.alert_listing(df, none, at, limit=2, **how).collect()}
 
     assert listed() == {"4", "2"}
+    assert serving.alert_listing(df, none, at).count() == 4
+    many = spark.range(12_000).select(F.col("id").cast("string").alias("grid_id"), F.lit("ACTIVITY_DROP").alias("alert_type"),
+        F.to_timestamp(F.lit(START)).alias("timestamp"), F.lit(1.0).alias("current_activity"), F.lit(1.0).alias("baseline_activity"),
+        F.lit("").alias("reason"))
+    assert serving.alert_listing(many, none, at).count() == 12_000
+    assert serving.alert_listing(many, none, at, limit=11_000).count() == 11_000
     assert listed(order="text") == {"3", "1"}  # MEDIUM, LOW, HIGH by name
     assert listed(severity="low") == {"1"}
 
@@ -204,7 +210,7 @@ def test_drilldown_and_timeline(spark, hourly):
         with pytest.raises(ValueError):
             serving.grid_drilldown(fact, 1, **bad)
     with pytest.raises(LookupError):
-        serving.grid_drilldown(fact, 10_001)
+        serving.grid_drilldown(fact, 10_001, n_cells=10_000)
     none = spark.createDataFrame([], RISK)
     points = [r["timestamp"] for r in serving.grid_timeline(fact, none, 1).collect()]
     assert len(points) == 168 and points == sorted(points)
