@@ -263,21 +263,27 @@ def match_items(docs: DataFrame, items: DataFrame, text: str = "text", into: str
 
     `items` has item_id and text. `into` must not be a column of `docs`.
     """
+    storage.bounded_batches(docs)
     kind = T.StructType([*MATCH.fields, T.StructField("ranges", T.ArrayType(SPAN))])
     schema = T.StructType([*docs.schema.fields, T.StructField(into, kind)])
-    for k, shared in enumerate(item_automata(items, window)):
-        docs = docs.mapInArrow(_matcher(text, into, shared, k == 0), schema)
+    for scan in _matchers(items, text, into, window):
+        docs = docs.mapInArrow(scan, schema)
     return docs
 
 
-def _without(batches, text: str, column: str):
+def _matchers(items: DataFrame, text: str, into: str, window: int) -> list:
+    return [_matcher(text, into, shared, k == 0) for k, shared in enumerate(item_automata(items, window))]
+
+
+def _without(batches, text: str, column: str, coverage: float):
     """Cut the byte ranges out of the text; what stood on both sides is joined by one space."""
     for batch in batches:
-        texts, spans = batch.column(text), batch.column(column)
-        lengths = pa.compute.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False)
-        if lengths.any():
+        texts, found = batch.column(text), batch.column(column)
+        n_hit, n_words, spans = (found.field(n) for n in ("n_hit", "n_words", "spans"))
+        hit = pa.compute.greater(n_hit, 0).to_numpy(zero_copy_only=False)
+        if hit.any():
             made = texts.to_pylist()
-            for i in np.flatnonzero(lengths).tolist():
+            for i in np.flatnonzero(hit).tolist():
                 data, at, parts = made[i].encode(), 0, []
                 for span in spans[i].as_py():
                     parts.append(data[at:span["start"]].rstrip(b" "))
@@ -285,9 +291,10 @@ def _without(batches, text: str, column: str):
                 parts.append(data[at:].lstrip(b" "))
                 made[i] = b" ".join(p for p in parts if p).decode()
             texts = pa.array(made, type=texts.type)
-        names = batch.schema.names
-        arrays = [texts if n == text else batch.column(n) for n in names if n != column]
-        yield pa.RecordBatch.from_arrays(arrays, names=[n for n in names if n != column])
+        names = [n for n in batch.schema.names if n != column]
+        kept = pa.array(n_hit.to_numpy() <= coverage * n_words.to_numpy())
+        yield pa.RecordBatch.from_arrays(
+            [texts if n == text else batch.column(n) for n in names], names=names).filter(kept)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
@@ -296,11 +303,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     A span is removed when it matches at least `window` words or a whole shorter item. A document of
     which more than `coverage` of the words is hit goes as a whole.
     """
-    into, spans = storage.free_name(docs, "match"), storage.free_name(docs, "spans")
-    found = match_items(docs, items, into=into, window=window)
-    kept = found.filter(F.col(f"{into}.n_hit") <= coverage * F.col(f"{into}.n_words"))
-    kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{into}.spans").alias(spans))
-    return kept.mapInArrow(lambda batches: _without(batches, "text", spans), docs.schema)
+    storage.bounded_batches(docs)
+    into = storage.free_name(docs, "match")
+    scans = _matchers(items, "text", into, window)
+
+    def clean(batches):
+        for scan in scans:  # one after the other on each batch, in one worker
+            batches = scan(batches)
+        yield from _without(batches, "text", into, coverage)
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,11 +11,11 @@ Cases: null text, text without a letter, or no labelled rows at all: language `u
 their row. Rows with null language are not learned from. Result columns replace columns of the same name.
 """
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +30,7 @@ EPOCHS, STEPS, BATCH, RATE = 14, 1500, 32, 2.0  # at least so many epochs and st
 CALIBRATION = 5  # one sample row of so many
 TARGET, MOST_REJECTED = 0.98, 0.001
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 ADDED = ("lang_pred", "score", "accepted")
 
 # Case is folded for ASCII; digits and punctuation become spaces.
@@ -56,9 +56,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def has_letter(text: str) -> bool:
-    """Whether a character of a letter category occurs; signs such as a fraction are not letters."""
-    return any(m.group().isalpha() for m in LETTER.finditer(text))
+def have_letters(texts: pa.Array) -> list[bool]:
+    """Whether a character of a letter category occurs; signs such as a fraction are not letters. Null: no."""
+    return pa.compute.match_substring_regex(texts, LETTER).fill_null(False).to_pylist()
 
 
 def _features(text: str):
@@ -161,7 +161,7 @@ def _predict(text: str, shared):
         for batch in batches:
             names = [n for n in batch.schema.names if n not in ADDED]
             best, score = [], []
-            for block in words.blocks(batch.column(text), 1 << 20):
+            for block in words.blocks(batch.column(text)):
                 n = len(block.bounds) - 1
                 if not model.languages:
                     best += [None] * n
@@ -172,8 +172,7 @@ def _predict(text: str, shared):
                 p = model.scores(z)
                 best += [model.languages[i] for i in p.argmax(axis=1).tolist()]
                 score += p.max(axis=1).tolist()
-            texts = batch.column(text).to_pylist()
-            letters = [lang is not None and t is not None and has_letter(t) for t, lang in zip(texts, best, strict=True)]
+            letters = [lang is not None and ok for ok, lang in zip(have_letters(batch.column(text)), best, strict=True)]
             best = [b if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
             score = [s if ok else 0.0 for s, ok in zip(score, letters, strict=True)]
             accepted = [ok and s >= model.threshold for s, ok in zip(score, letters, strict=True)]
@@ -185,6 +184,7 @@ def _predict(text: str, shared):
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
+    storage.bounded_batches(labelled)
     labelled = labelled.filter(F.col(f"`{lang}`").isNotNull()).select(
         F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"),
         F.col(f"`{text}`").alias("text"))
@@ -194,6 +194,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with lang_pred, score (calibrated probability) and accepted."""
+    storage.bounded_batches(docs)
     kept = [f for f in docs.schema.fields if f.name.lower() not in ADDED]
     docs = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),

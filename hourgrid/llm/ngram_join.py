@@ -21,6 +21,8 @@ one shingle. Repeated rows are copies of each other and give equal rows. A null
 other than id and text are not read.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,7 @@ TILE = 1024  # sets of at most LEAST_WEIGHT shingles in a band; fewer larger one
 LEAST_WEIGHT = 500
 COMMON_EVERY = 8  # one document of so many is read for the common shingles
 COMMON_SHARE = 1 / 500  # of the documents read
+COUNTED_AT_ONCE = 2_000_000  # shingles
 WIDEST = 1 << 15  # bits of a bitmap
 SIGNED = "doc_id long, n long, s1 long, s2 long, first array<long>, bits binary"
 
@@ -69,23 +72,31 @@ def fold_bitmap(data: bytes, bits: int) -> np.ndarray:
     return np.bitwise_or.reduce(whole.reshape(-1, bits // 64), axis=0)
 
 
-def text_shingles(column: pa.Array) -> list[np.ndarray]:
-    out = []
+def text_shingles(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each text, block by block."""
     for block in words.blocks(column):
         found = words.find_words(block, words.SPACED)
-        out += words.shingle_sets(words.hash_words(block, found), found.cuts, WIDTH)
-    return out
+        yield from words.shingle_sets(words.hash_words(block, found), found.cuts, WIDTH)
 
 
 def _count_common(batches):
-    """Documents by shingle, of the shingles seen at least twice in a batch."""
-    for batch in batches:
-        sets = text_shingles(batch.column("text"))
-        at, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+    """Documents by shingle, of the shingles seen at least twice in a stretch of documents."""
+    def counted(sets):
+        at, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
         kept = n > 1
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(at[kept].view(np.int64)), pa.array(n[kept], pa.int64())], names=["shingle", "n"])
 
+    sets, size = [], 0
+    for batch in batches:
+        for shingles in text_shingles(batch.column("text")):
+            sets.append(shingles)
+            size += len(shingles)
+        if size > COUNTED_AT_ONCE:
+            yield counted(sets)
+            sets, size = [], 0
+    yield counted(sets)
+
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles in more than `COMMON_SHARE` of the documents read.
@@ -221,7 +232,7 @@ def _tile_links(tile, rows: list) -> list[tuple]:
         return []
     rows.sort(key=lambda r: r[2])
     side, rep, n, label = (np.array([r[k] for r in rows]) for k in range(4))
-    sets = text_shingles(pa.array([r[4] for r in rows], pa.large_string()))
+    sets = list(text_shingles(pa.array([r[4] for r in rows], pa.large_string())))
     links = []
     for i, near, bound in _windows(side, rep, n, label, [bitmap(x) for x in sets]):
         for j in near[np.argsort(-bound, kind="stable")].tolist():
@@ -272,6 +283,7 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def linked_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text)."""
+    storage.bounded_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members, found = classes_of(docs)
     # The least class of a shingle anchors all classes with that shingle; rows of lonely shingles fall away.

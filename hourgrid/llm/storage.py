@@ -24,6 +24,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`; from now on the session hands at most `BATCH_ROWS` rows and about `BATCH_BYTES` to Python at once.
+
+    A batch is held by the executor and by its Python worker, so its size bounds the memory of both. Smaller
+    settings of the session stay.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int("".join(c for c in conf.get(key) if c.isdigit()) or 0)
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """`wanted`, lengthened until no column of `df` clashes with it (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -108,6 +108,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LI
 
     Columns of those names are replaced. `path` is a tokenizer file every executor has.
     """
+    storage.bounded_batches(docs)
     kept = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit") or c == text]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     fields = [f for f in docs.schema.fields if f.name != text]

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20  # bytes of text handled at once; a longer text makes a block of its own
+BLOCK_BYTES = 1 << 18  # bytes of text handled at once; a longer text makes a block of its own
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)

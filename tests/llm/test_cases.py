@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hourgrid.llm import (decontaminate, graph, hmm, langid, mixing, ngram_join, quality, secrets, tokens, tree_search, urls)
@@ -154,7 +155,7 @@ def test_language_id_cases(odd, frame):
         assert (r.lang_pred == "und") == (r.text is None or not re.search(r"[^\W\d_]", r.text))
     asked = langid.identify(frame([(1, "the that of and"), (2, "der und nicht")], "doc_id long, text string"), model)
     assert [r.lang_pred for r in asked.orderBy("doc_id").collect()] == ["en", "de"]
-    assert [langid.has_letter(t) for t in ("½ ²", "12_3", "½ é", "漢")] == [False, False, True, True]
+    assert langid.have_letters(pa.array(["½ ²", "12_3", "½ é", "漢", None])) == [False, False, True, True, False]
     empty = langid.fit(odd)
     assert {(r.lang_pred, r.score) for r in langid.identify(odd, empty).collect()} == {("und", 0.0)}
 
@@ -162,12 +163,13 @@ def test_language_id_cases(odd, frame):
 def test_quality_cases(odd, frame):
     rng = random.Random(8)
     rows = [(str(i), prose(rng, 30), 1) for i in range(60)] + [(str(100 + i), prose(rng, 20).upper() + "!!", 0) for i in range(60)]
-    model = quality.fit(frame(rows, "key string, text string, label int"))
+    table = frame([*rows, ("200", None, 1), (None, "", 0)], "doc_id string, text string, label int")
+    model = quality.fit(table.drop("label"), table.drop("text"))
     got = quality.rate(frame([(1, prose(rng, 25)), (2, prose(rng, 25).upper() + "!!")], "doc_id long, text string"), model)
     assert [r.predicted for r in got.orderBy("doc_id").collect()] == [1, 0]
     scored = quality.rate(odd, model).collect()
     assert len(scored) == odd.count() and all(0 <= r.score <= 1 for r in scored)
-    none = quality.fit(frame([("1", "x", None)], "key string, text string, label int"))
+    none = quality.fit(table.drop("label"), frame([("1", None)], "doc_id string, label int"))
     assert {r.score for r in quality.rate(odd, none).collect()} == {0.5}
 
 
