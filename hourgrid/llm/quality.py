@@ -8,7 +8,7 @@ fits the sigmoid that turns margins into probabilities.
 
 Cases: null and empty texts have no features and get the score of the bias. Without labels of both classes every score
 is 0.5. Rows whose label is null are not learned from. Repeated rows each get their row; repeated labels of a document
-count as rows. Result columns replace columns of the same name.
+count as rows. Null ids have no label. Result columns replace columns of the same name.
 """
 
 from dataclasses import dataclass
@@ -43,7 +43,7 @@ def features(column: pa.Array) -> list[np.ndarray]:
     """The sorted distinct buckets of each text."""
     out = []
     shift = np.uint64(64 - BITS)
-    for block in words.blocks(column, 1 << 20):
+    for block in words.blocks(column):
         found = words.find_words(block, words.SPACED)
         single = words.hash_words(block, found)
         pairs = words.hash_runs(single, 2)
@@ -135,25 +135,37 @@ def fit_sigmoid(margins: np.ndarray, positive: np.ndarray) -> tuple[float, float
     return a / scale, b
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """`labelled` has key, text and label (0 or 1)."""
-    labelled = labelled.filter(F.col("label").isin(0, 1)).select(
-        F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), F.col("label").cast("int").alias("label"), "text")
-    counts = labelled.select("label", "text").mapInArrow(_count, "at int, low long, high long").groupBy("at").agg(
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label",
+        rows: int = SAMPLE_ROWS) -> Model:
+    """A model of the texts of `docs` that have a label (0 or 1) in `labels`; both have the column `key`.
+
+    Labels are sent to the documents while they are few (see `storage.sized`); the rows of the sample always are.
+    """
+    storage.bounded_batches(docs)
+
+    def ident(df):
+        return df[key].cast("string").alias("key")
+
+    marks = storage.staged(labels.filter(F.col(f"`{label}`").isin(0, 1)).select(
+        ident(labels), F.col(f"`{label}`").cast("int").alias("label")), "labels")
+    texts = docs.select(ident(docs), F.col(f"`{text}`").alias("text"))
+    counts = texts.join(storage.sized(marks), "key").select("label", "text").mapInArrow(
+        _count, "at int, low long, high long").groupBy("at").agg(
         F.sum("low").alias("low"), F.sum("high").alias("high")).toPandas()  # one row a bucket at most
     total = counts[counts["at"] == -1]
     low, high = (int(total[c].sum()) for c in ("low", "high"))
     size = 1 << BITS
     if not low or not high:
         return Model(np.zeros(size), 0.0, 0.0, 0.0)
+    share = min(rows / (low + high), 1.0)
+    chosen = marks.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = texts.join(F.broadcast(chosen), "key").select("label", "text").mapInArrow(
+        _sparse, "label int, at array<int>").collect()  # the chosen labels are about `rows`
     counts = counts[counts["at"] >= 0]
     p, q = np.full(size, SMOOTHING), np.full(size, SMOOTHING)
     p[counts["at"]] += counts["high"]
     q[counts["at"]] += counts["low"]
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    share = min(rows / (low + high), 1.0)
-    chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = labelled.filter(chosen).select("label", "text").mapInArrow(_sparse, "label int, at array<int>").collect()
     x = [np.array(r["at"], dtype=np.int32) for r in sample]
     y = np.array([1.0 if r["label"] else -1.0 for r in sample])
     held = (np.arange(len(x)) % CALIBRATION == 0) & (len(x) >= 8 * CALIBRATION)
@@ -181,6 +193,7 @@ def _score(text: str, shared):
 
 def rate(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
     """`docs` with score (0 to 1) and predicted."""
+    storage.bounded_batches(docs)
     kept = [f for f in docs.schema.fields if f.name.lower() not in ADDED]
     docs = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
@@ -191,6 +204,5 @@ def rate(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) ->
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = storage.table(spark, folder, "documents").select("doc_id", "text")
     labels = storage.table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    learned = docs.filter(fold(F.col("doc_id"), 4) != 2).join(labels, "doc_id")
-    model = fit(learned.select(F.col("doc_id").alias("key"), "text", "label"))
+    model = fit(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
     return rate(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
