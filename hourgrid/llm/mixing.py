@@ -22,6 +22,7 @@ SEED = 20
 STEP = 16.0
 TAIL = 80  # terms of the inverse: beyond, the chance at mean STEP is below 1e-30
 TEMPERATURE = 0.7
+MOST_SENT = 20_000  # rows of rates that may be broadcast, 14 MB
 
 
 def uniform(*parts: Column) -> Column:
@@ -66,11 +67,12 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: int |
             (s["p"] * F.col("mean") / k).alias("p"),
             F.concat(s["sums"], F.array(F.element_at(s["sums"], -1) + s["p"] * F.col("mean") / k)).alias("sums")),
         lambda s: s["sums"])
-    rates = rates.select(F.col("source").alias("rate_source"), "draws", table.alias("below"))
+    rates = storage.staged(rates.select(F.col("source").alias("rate_source"), "draws", table.alias("below")), "rates")
     kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     draw = storage.free_name(docs, "times")
     ident = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    joined = docs.join(rates, F.col(f"`{source}`").cast("string").eqNullSafe(F.col("rate_source")), "left")
+    # One row a source. Where there are few, documents stay where they are until the shuffle.
+    joined = docs.join(storage.sized(rates, MOST_SENT), F.col(f"`{source}`").cast("string").eqNullSafe(F.col("rate_source")), "left")
     count = F.aggregate(
         F.sequence(F.lit(1), F.coalesce("draws", F.lit(1))), F.lit(0),
         lambda n, j: n + F.size(F.filter(F.coalesce("below", F.array(F.lit(1.0))),
