@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from hourgrid.llm import storage
 
 DEFAULT = "allow"
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 5_000
 LAST = "\U0010ffff"
 # The rules of the query.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -42,8 +42,10 @@ def reversed_host(host: Column) -> Column:
 
 
 def _split_points(keyed: DataFrame, parts: int) -> list[tuple]:
-    """Cuts of the pages into even ranges, from a sample of at most `SAMPLE_ROWS` keys."""
-    sample = keyed.select("key", "path", "spread").orderBy("spread", "key", "path").limit(SAMPLE_ROWS).collect()
+    """Cuts of the pages into even ranges, from a hash sample of about `SAMPLE_ROWS` keys."""
+    share = SAMPLE_ROWS / max(keyed.count(), 1)
+    chosen = F.pmod(F.xxhash64("spread"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30))
+    sample = keyed.select("key", "path", "spread").filter(chosen).collect()
     keys = sorted((r.key, r.path, r.spread) for r in sample)
     return sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
 
@@ -117,7 +119,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
     `rules` has verdict, host and path. The longest rule is the one with most characters in host and path.
     """
-    spark = pages.sparkSession
+    spark = storage.bounded_batches(pages).sparkSession
     parts = 4 * storage.partitions(spark)
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     host, path = url_parts(F.col(f"`{url}`"))
