@@ -31,6 +31,7 @@ SAMPLE_ROWS = 20_000
 BRANCHES, LEAF_ROWS = 8, 64
 PROBES, RECALL = 200, 0.97
 BLOCK_ROWS = 2048
+HELD_QUERIES = 20_000
 
 
 @dataclass
@@ -210,11 +211,14 @@ def _walk(shared, visits: int):
 
 
 def _best_of_blocks(k: int):
-    """The best `k` entries of each query in each block; rows come sorted by block, entries before queries."""
+    """The best `k` entries of each query in the blocks of a task; rows come sorted by block, entries before queries.
+
+    A query meets many blocks of a task, so its best are merged here for up to `HELD_QUERIES` queries at a time.
+    """
 
     def best(batches):
         block, entries, x, waiting = None, [], None, []
-        out: list[tuple] = []
+        held: dict[int, list] = {}
 
         def flush():
             nonlocal waiting, x
@@ -225,17 +229,19 @@ def _best_of_blocks(k: int):
                 q = np.array([v for _, v in waiting])
                 scores = q @ x.T
                 for (name, v), s in zip(waiting, scores, strict=True):
-                    v = np.asarray(v)
                     # A few more than k, then exact scores in a fixed order of summation.
-                    top = np.argpartition(-s, min(k + 8, len(s) - 1))[:k + 8] if len(s) > k + 8 else np.arange(len(s))
+                    top = np.argpartition(-s, k + 8)[:k + 8] if len(s) > k + 8 else np.arange(len(s))
                     exact = products(x[top], v)
-                    for j in np.lexsort((names[top], -exact))[:k].tolist():
-                        out.append((name, int(names[top[j]]), float(exact[j])))
+                    mine = held.setdefault(name, [])
+                    mine += zip((-exact).tolist(), names[top].tolist(), strict=True)
+                    if len(mine) > 8 * k:
+                        mine.sort()
+                        del mine[k:]
             waiting = []
 
         def emit():
-            nonlocal out
-            rows, out = out, []
+            rows = [(q, e, -s) for q, mine in held.items() for s, e in sorted(mine)[:k]]
+            held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
                 names=["query", "entry", "score"])
@@ -253,7 +259,7 @@ def _best_of_blocks(k: int):
                         flush()
                 else:
                     entries.append((name, vectors[i]))
-            if len(out) > 50_000:
+            if len(held) > HELD_QUERIES:
                 yield emit()
         flush()
         yield emit()
@@ -267,7 +273,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
 
     `queries` are rows with the same columns.
     """
-    spark = vectors.sparkSession
+    spark = storage.bounded_batches(vectors).sparkSession
     rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
     entries = storage.staged(distinct_vectors(rows, k + 1), "entries")
     total = entries.count()
