@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from hourgrid.llm import decontaminate, hmm, langid, mixing, ngram_join, quality, secrets, tokens, tree_search, urls
+from hourgrid.llm import (decontaminate, hmm, langid, licenses, mixing, ngram_join, quality, secrets, tokens, tree_search, urls)
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_tree_search": tree_search.op8_tree_search,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op13_license_scan": licenses.op13_license_scan,
 }
 
 ORACLE_SQL = {
