@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from hourgrid.llm import (decontaminate, hmm, langid, licenses, mixing, ngram_join, quality, ranked_search, secrets, tokens,
-                          tree_search, urls)
+from hourgrid.llm import (decontaminate, hmm, langid, licenses, mixing, ngram_join, prefix_trie, quality, ranked_search, secrets,
+                          tokens, tree_search, urls)
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_tree_search": tree_search.op8_tree_search,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_ranked_search": ranked_search.op12_ranked_search,
     "op13_license_scan": licenses.op13_license_scan,
 }
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op7_url_filters": urls.ORACLE_SQL,
     "op9_source_mix": mixing.ORACLE_SQL,
     "op10_secret_scan": secrets.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
     "op12_ranked_search": ranked_search.ORACLE_SQL,
 }
