@@ -39,18 +39,22 @@ def split_rejects(parsed: DataFrame, mode: str = "strict") -> tuple[DataFrame, D
     return accepted, marked.filter(F.col("reject_reason").isNotNull())
 
 
-def reject_counts(parsed: DataFrame, *more: Column, mode: str = "strict") -> DataFrame:
-    """Row balance of the split in one pass: raw = clean + rejected; `more` are further aggregates of that pass."""
+def balance_counts(mode: str = "strict") -> list[Column]:
+    """Aggregates over parsed rows: all of them, those kept, those refused and why."""
     bad = reject_reason(mode).isNotNull()
-    counted = parsed.agg(
+    return [
         F.count(F.lit(1)).alias("raw_rows"),
         F.count_if(~bad).alias("clean_rows"),
         F.count_if(bad).alias("rejected_rows"),
         F.count_if(F.col("timestamp").isNull()).alias("null_timestamps"),
         F.count_if(F.col("grid_id").isNull()).alias("null_grids"),
         F.count_if(C.any_negative(S.MEASURES)).alias("negative_rows"),
-        *more,
-    )
+    ]
+
+
+def reject_counts(parsed: DataFrame, *more: Column, mode: str = "strict") -> DataFrame:
+    """Row balance of the split in one pass: raw = clean + rejected; `more` are further aggregates of that pass."""
+    counted = parsed.agg(*balance_counts(mode), *more)
     balanced = F.col("raw_rows") == F.col("clean_rows") + F.col("rejected_rows")
     return counted.withColumn("balanced", balanced)
 
@@ -78,7 +82,11 @@ def derive(filled: DataFrame) -> DataFrame:
 
 def clean_activity(raw: DataFrame, mode: str = "strict") -> DataFrame:
     """Raw rows to clean activity; one narrow stage, no shuffle."""
-    accepted, _ = split_rejects(parse_activity(raw), mode)
+    return clean_parsed(parse_activity(raw), mode)
+
+
+def clean_parsed(parsed: DataFrame, mode: str = "strict") -> DataFrame:
+    accepted, _ = split_rejects(parsed, mode)
     return derive(zero_fill(accepted)).select(
         *S.KEYS, "country_code", *S.MEASURES, *S.TOTALS,
         "date", "hour", "day_of_week", "weekday", "hour_timestamp",

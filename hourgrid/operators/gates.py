@@ -30,14 +30,15 @@ def split_fields(line: Column) -> Column:
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """Header fields and the id of the header line, per file that has a line."""
+    """Header fields and the id of the header line, per file that has a line; its path, where `lines` has one."""
+    path = [F.min("path").alias("path")] if "path" in lines.columns else []
     first = lines.filter(F.col("block") == 0).groupBy("filename").agg(
-        F.min_by("value", "line_id").alias("_line"), F.min("line_id").alias("first_line")
+        F.min_by("value", "line_id").alias("_line"), F.min("line_id").alias("first_line"), *path
     )
     clean = F.transform(
         split_fields(F.regexp_replace("_line", "^﻿", "")), lambda c: F.trim(c)
     )
-    return first.select("filename", clean.alias("header"), "first_line")
+    return first.select("filename", clean.alias("header"), "first_line", *(["path"] if path else []))
 
 
 def header_gate(files: DataFrame, headers: DataFrame, required=S.RAW_COLUMNS) -> DataFrame:
@@ -56,7 +57,7 @@ def fields_by_name(lines: DataFrame, headers: DataFrame, names=S.RAW_COLUMNS) ->
     """Data rows with the named fields as text, by the header of their own file."""
     # Headers are one row per file; the optimizer broadcasts them when they are few and
     # otherwise splits a file that is much larger than the rest.
-    joined = lines.join(headers, "filename").withColumn("_f", split_fields(F.col("value")))
+    joined = lines.join(headers.drop("path"), "filename").withColumn("_f", split_fields(F.col("value")))
     is_header = (F.col("block") == 0) & (F.col("line_id") == F.col("first_line"))
     place = {n: F.array_position("header", n) for n in names}
     return joined.filter(~is_header).select(

@@ -1,6 +1,7 @@
 """The batch job: daily files in, curated tables, warehouse, alerts and features out.
 
-Each stage is written and read back. The next stage starts from files, so a lost
+`run` makes all tables from one folder of files. From the command line, and with `gated`, the job goes day by
+day instead (see `day_by_day`). Each stage is written and read back. The next stage starts from files, so a lost
 executor costs at most one stage, and the hourly table is computed once for all users.
 
     python -m hourgrid.plans.daily --input DIR --processed DIR --analytics DIR --now TIME [--reference FILE]
@@ -9,14 +10,13 @@ executor costs at most one stage, and the hourly table is computed once for all
 import argparse
 import logging
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hourgrid import schema as S
 from hourgrid.operators import (
-    aggregate, alerts, anomaly, clean, gates, geo, learning, runs, series, warehouse,
+    aggregate, alerts, anomaly, gates, geo, learning, runs, series, warehouse,
 )
+from hourgrid.plans import day_by_day
 from hourgrid.session import build_session, cut_lineage
 from hourgrid.sources import files, sinks
 
@@ -35,48 +35,21 @@ def _stored(spark: SparkSession, df: DataFrame, path: str, time=None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ingest(spark: SparkSession, source: str, analytics: str, now: str) -> list[str]:
-    """Judge the files of the landing folder and return the paths of the new good ones.
-
-    Each file gets a row in the audit log, which also is the manifest of files taken before. A folder
-    without files, or with an empty one, is refused.
-    """
-    found = files.discover_files(spark, source)
-    zone = gates.raw_zone_check(found).first()
-    if not zone["passed"]:
-        raise ValueError(f"raw zone refused: {zone['files']} files, {zone['empty_files']} empty")
-    audit = f"{analytics}/ingest_audit"
-    try:
-        seen = spark.read.schema(S.AUDIT_SCHEMA).parquet(audit)
-    except AnalysisException as missing:  # the first run has no log yet
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        seen = spark.createDataFrame([], S.AUDIT_SCHEMA)
-    lines = files.read_lines(spark, source)
-    headers = gates.file_headers(lines)
-    checked = gates.header_gate(found.select("filename"), headers)
-    rows = gates.row_gate(gates.fields_by_name(lines, headers))
-    routed = cut_lineage(gates.route_files(checked, rows, seen.filter("status = 'ACCEPTED'")))
-    sinks.append_audit(routed, audit, now)
-    # Names of files: as many as days arrive at once.
-    names = [r["filename"] for r in routed.filter("status = 'ACCEPTED'").select("filename").collect()]
-    return [f"{source.rstrip('/')}/{n}" for n in sorted(names)]
-
-
 def process_files(spark: SparkSession, source, processed: str) -> tuple[DataFrame, DataFrame]:
     """Clean activity by date and the counts of the run, both as stored. `source` is a folder or a list of files.
 
-    Nulls and rejects are counted in one pass over the text.
+    The columns of each file are taken by its header; a file that lacks one is an error. The text is parsed once, nulls and
+    rejects are counted on the way.
     """
-    raw = files.read_activity(spark, source)
-    parsed = clean.parse_activity(raw)
-    nulls = F.lit(0)
-    for m in S.MEASURES:
-        nulls = nulls + F.count_if(F.col(m).isNull())
-    counts = clean.reject_counts(parsed, nulls.cast("bigint").alias("nulls_handled"))
-    counted = _stored(spark, counts, f"{processed}/run_counts")
-    activity = _stored(spark, clean.clean_activity(raw), f"{processed}/activity", "timestamp")
-    return activity, counted
+    headers = cut_lineage(gates.file_headers(files.read_lines(spark, source)))
+    if headers.isEmpty():
+        raise FileNotFoundError(f"no activity file in {source}")
+    bad = gates.header_gate(headers.select("filename"), headers).filter("schema_reason <> 'SCHEMA_VALID'").first()
+    if bad:
+        raise ValueError(f"{bad['filename']}: {bad['schema_reason']}")
+    activity, counts = day_by_day.cleaned(files.read_by_header(spark, headers))
+    counted = _stored(spark, spark.createDataFrame([counts]), f"{processed}/run_counts")
+    return _stored(spark, activity, f"{processed}/activity", "timestamp"), counted
 
 
 def build_analytics(
@@ -151,21 +124,17 @@ def score(spark: SparkSession, tables: dict[str, DataFrame], analytics: str, mod
 
 def run(spark, source, processed, analytics, reference=None, run_id="manual", now=None, gated=False,
         model=None, version="gbt-v1") -> DataFrame:
-    """All stages; returns the status record and raises when a check failed.
+    """All stages over all files of `source`; returns the status record and raises when a check failed.
 
-    With `gated`, files pass the gates first, refused ones and those taken before are left out, and a run
-    without new files changes nothing. With `model`, the feature table is scored and upserted. A stage that breaks
-    leaves a failure record that names it.
+    With `gated`, the run is one of `day_by_day`: only new files that pass the gates are taken in, on top of what
+    earlier runs stored. With `model`, the feature table is scored and upserted. A stage that breaks leaves a failure
+    record that names it.
     """
-    task = "ingest"
+    if gated:
+        return day_by_day.run(spark, source, processed, analytics, reference, run_id, now, model, version)
+    task = "spark_process"
     status = f"{analytics}/pipeline_status"
     try:
-        if gated:
-            source = ingest(spark, source, analytics, now)
-            if not source:
-                log.info("no new file")
-                return files.read_status(spark, status)
-        task = "spark_process"
         lookup = files.read_geojson(spark, reference) if reference else None
         activity, counted = process_files(spark, source, processed)
         tables = build_analytics(spark, activity, analytics, lookup)

@@ -1,6 +1,8 @@
 """Reading activity files, tables, polygons and status records."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hourgrid import schema as S
 from hourgrid.functions.columns import require_columns
@@ -28,9 +30,10 @@ def discover_files(spark: SparkSession, folder: str, pattern: str = S.FILE_PATTE
 def read_activity(spark: SparkSession, path, pattern: str | None = S.FILE_PATTERN) -> DataFrame:
     """Daily CSV files with every field as text and the name of its file.
 
-    Text first, types later: an inferred type would turn one odd value into a failed job.
+    Text first, types later: an inferred type would turn one odd value into a failed job. All files must have the
+    columns in the standard order, else the read fails; `read_by_header` takes any order.
     """
-    reader = spark.read.option("header", True).schema(S.RAW_TEXT_SCHEMA)
+    reader = spark.read.option("header", True).option("enforceSchema", False).schema(S.RAW_TEXT_SCHEMA)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     rows = reader.csv(path)
@@ -39,6 +42,29 @@ def read_activity(spark: SparkSession, path, pattern: str | None = S.FILE_PATTER
     return rows.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
 
 
+def read_by_header(spark: SparkSession, headers: DataFrame, required=S.RAW_COLUMNS) -> DataFrame:
+    """The required columns of CSV files, taken by the names in each file's own header, and the name of the file.
+
+    `headers` has path and header (see `gates.file_headers`). Files with equal headers are one read; there are as many reads as
+    different headers. A file whose header lacks a required column is not read. Of equal names the first column counts.
+    """
+    wanted = F.array(*[F.lit(c) for c in required])
+    admitted = headers.filter(F.size(F.array_except(wanted, F.col("header"))) == 0)
+    # Names of files: as many as days arrive at once.
+    groups = admitted.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file")
+    reads = []
+    for group in sorted(groups, key=lambda g: g["paths"]):
+        # Columns are named by place, since the names of a file may clash.
+        places = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(group["header"]))])
+        rows = spark.read.option("header", True).schema(places).csv(group["paths"])
+        reads.append(rows.select(*[F.col(f"c{group['header'].index(c)}").alias(c) for c in required], name))
+    if not reads:
+        empty = T.StructType([*[T.StructField(c, T.StringType()) for c in required], T.StructField("source_file", T.StringType())])
+        return spark.createDataFrame([], empty)
+    return reduce(DataFrame.unionByName, reads)
+
+
 def activity_source(spark: SparkSession, path=None, frame: DataFrame | None = None) -> DataFrame:
     """Exactly one of a path and an existing frame."""
     if (path is None) == (frame is None):
@@ -49,13 +75,15 @@ def activity_source(spark: SparkSession, path=None, frame: DataFrame | None = No
 
 
 def read_lines(spark: SparkSession, path, pattern: str = S.FILE_PATTERN) -> DataFrame:
-    """Lines with file name, block offset and an id that rises by one inside a block.
+    """Lines with file name and path, block offset and an id that rises by one inside a block.
 
     Blank lines are left out before ids are given, as a CSV reader would skip them.
     """
     lines = spark.read.option("pathGlobFilter", pattern).text(path)
     placed = lines.select(
         F.col("_metadata.file_name").alias("filename"),
+        # The path comes encoded as in a URL, where a plus sign stands for itself.
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"),
         F.col("_metadata.file_block_start").alias("block"), "value",
     ).filter(F.col("value") != "")
     return placed.withColumn("line_id", F.monotonically_increasing_id())

@@ -10,6 +10,7 @@ from hourgrid.operators import aggregate, clean, gates, geo, runs, serving
 from hourgrid.plans import daily
 from hourgrid.session import shared_folder
 from hourgrid.sources import files, sinks
+from hourgrid.sources.snapshots import Store
 
 HEADER = ",".join(S.RAW_COLUMNS)
 
@@ -322,11 +323,12 @@ def test_gated_daily_job(spark, tmp_path):
     assert record["healthy"] and record["rows_in"] == 4 * 48
     audit = {r["filename"][-6:-4]: (r["status"], r["row_count"]) for r in spark.read.parquet(f"{out}/ingest_audit").collect()}
     assert audit["01"] == ("ACCEPTED", 48) and audit["05"] == ("REJECTED", 49) and audit["06"][0] == "REJECTED"
-    before = sorted(p.name for p in (tmp_path / "out" / "hourly_grid_summary").rglob("*.parquet"))
+    before = sorted(p.name for p in (tmp_path / "out" / "data").rglob("*.parquet"))
+    assert before
     again = daily.run(spark, str(landing), clean_to, out, now="2013-11-08 00:00:00", gated=True).first()
     assert again["timestamp"] == record["timestamp"]
-    assert sorted(p.name for p in (tmp_path / "out" / "hourly_grid_summary").rglob("*.parquet")) == before
-    features = spark.read.parquet(f"{out}/network_feature_table")
+    assert sorted(p.name for p in (tmp_path / "out" / "data").rglob("*.parquet")) == before
+    features = Store(spark, out).read("network_feature_table")
     labelled = features.withColumn("HIGH_ACTIVITY", (F.hour("feature_timestamp") % 2).cast("int"))
     model = learning.fit_classifier(labelled, trees=2)
     risk = daily.score(spark, {"network_feature_table": features}, out, model, "v1")
