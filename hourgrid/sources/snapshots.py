@@ -26,6 +26,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._known, self._folded = None, ({}, {})
         self._log = self._hadoop.Path(f"{self.root}/log")
         self.files_of = self._log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -53,17 +54,29 @@ class Store:
             return self.spark.createDataFrame([], LOG)
         return self.spark.read.schema(LOG).json(paths)
 
+    def _state(self) -> tuple[dict, dict]:
+        """Live parts and schemas by table; read again only when the log has grown. As many entries as tables have dates."""
+        names = self._records()
+        if names != self._known:
+            rows = self.entries().filter(F.col("kind").isin(PART, GONE, SCHEMA)).collect()
+            parts: dict[str, dict[str, str]] = {}
+            schemas = {}
+            for r in sorted(rows, key=lambda r: r["number"]):
+                if r["kind"] == SCHEMA:
+                    schemas[r["name"]] = T.StructType.fromJson(json.loads(r["detail"]))
+                elif r["kind"] == PART:
+                    parts.setdefault(r["name"], {})[r["part"]] = r["folder"]
+                else:
+                    parts.get(r["name"], {}).pop(r["part"], None)
+            self._known, self._folded = names, (parts, schemas)
+        return self._folded
+
     def parts(self, name: str) -> dict[str, str]:
         """Live parts of a table with their folders: some for each date."""
-        mine = self.entries().filter((F.col("name") == name) & F.col("kind").isin(PART, GONE))
-        newest = mine.groupBy("part").agg(F.max_by(F.struct("kind", "folder"), "number").alias("e")).filter(
-            F.col("e.kind") == PART)
-        return {r["part"]: r["e"]["folder"] for r in newest.collect()}
+        return dict(self._state()[0].get(name, {}))
 
     def schema(self, name: str) -> T.StructType | None:
-        found = self.entries().filter((F.col("name") == name) & (F.col("kind") == SCHEMA)).agg(
-            F.max_by("detail", "number").alias("s")).first()["s"]
-        return T.StructType.fromJson(json.loads(found)) if found else None
+        return self._state()[1].get(name)
 
     def files(self) -> DataFrame:
         """Names of the input files that committed changes took in."""

@@ -118,14 +118,14 @@ def activity(spark, rows):
 
 
 def days(rng):
-    """Rows of five days: grids with gaps, one that begins late, rows that come days after their hour, and repeated hours."""
-    out = [[] for _ in range(5)]
-    for d in range(5):
+    """Rows of four days: grids with gaps, one that begins late, rows that come days after their hour, and repeated hours."""
+    out = [[] for _ in range(4)]
+    for d in range(4):
         for h in range(24):
             for g in ("1", "2", "3", "9"):
-                if (g == "2" and rng.random() < 0.6) or (g == "9" and d < 2):
+                if (g == "2" and rng.random() < 0.6) or (g == "9" and d < 1):
                     continue
-                arrives = min(4, d + (rng.choice([1, 3]) if g == "3" and rng.random() < 0.08 else 0))
+                arrives = min(3, d + (rng.choice([1, 3]) if g == "3" and rng.random() < 0.08 else 0))
                 out[arrives].append((d + 1, h, g, float(rng.randrange(1, 90))))
                 if rng.random() < 0.1:
                     out[arrives].append((d + 1, h, g, 0.5))
@@ -145,7 +145,7 @@ def test_day_by_day_equals_one_batch(spark, tmp_path):
     assert rows_of(store.read(day_by_day.HOURLY).select(*S.HOURLY_COLUMNS)) == rows_of(hourly)
     features = series.feature_table(hourly)
     stored = store.read(day_by_day.FEATURES)
-    assert features.count() > 150 and rows_of(stored.select(*features.columns)) == rows_of(features)
+    assert features.count() > 100 and rows_of(stored.select(*features.columns)) == rows_of(features)
     assert rows_of(store.read(day_by_day.DAYS)) == rows_of(aggregate.dashboard_totals(hourly))
     assert rows_of(store.read(day_by_day.TAIL)) == rows_of(incremental.last_rows(hourly.select(*incremental.SERIES)))
     facts = store.read(day_by_day.FACT)
@@ -161,7 +161,7 @@ def test_rows_read_do_not_grow_with_history(spark, tmp_path):
     loaded = []
     load = store.load
     store.load = lambda table, schema, folders: loaded.append((table, folders)) or load(table, schema, folders)
-    for day in range(1, 5):
+    for day in range(1, 4):
         loaded.clear()
         change = store.begin()
         day_by_day.advance(change, activity(spark, [(day, h, g, 2.0) for h in range(24) for g in "12"]))
@@ -174,10 +174,10 @@ def test_rows_read_do_not_grow_with_history(spark, tmp_path):
     change = store.begin()  # one late row: its grid's hours are read
     day_by_day.advance(change, activity(spark, [(2, 5, "1", 7.0)]))
     assert {f.split("date=")[1] for table, folders in loaded for f in folders if table == day_by_day.HOURLY and "date=" in f} == {
-        f"2024-01-0{d}" for d in range(1, 5)}
+        f"2024-01-0{d}" for d in range(1, 4)}
 
 
-STAGES = ["cleaned", "advance", "rebuild_histories", "commit"]
+STAGES = ["advance", "commit"]
 
 
 def test_broken_runs_are_taken_up(spark, tmp_path, monkeypatch):
