@@ -51,7 +51,11 @@ def rule_alerts(hourly: DataFrame, floor: Column | float | None = None) -> DataF
     The previous-row window comes first: it lays rows out by grid, and the windows by
     grid and day that follow need no further exchange.
     """
-    scored = day_baseline(above_floor_rows(previous_row(hourly), floor))
+    return fired_rules(day_baseline(above_floor_rows(previous_row(hourly), floor)))
+
+
+def fired_rules(scored: DataFrame) -> DataFrame:
+    """The alerts of rows that know their previous activity, day baseline and whether their day is above the floor."""
     current, before, base = F.col(X), F.col("previous_activity"), F.col("baseline_activity")
     fires = {
         "HIGH_ACTIVITY": current >= base * S.HIGH_MULTIPLIER,

@@ -136,8 +136,11 @@ class Store:
         schemas = rows.filter(F.col("kind") == SCHEMA).groupBy("name").agg(
             F.max_by(F.struct("number", "kind", "part", "folder", "detail"), "number").alias("e")
         ).select("e.number", "e.kind", "name", "e.part", "e.folder", "e.detail")
-        rest = rows.filter(F.col("kind").isin(FILE, TOKEN)).select(*live.columns)
-        lines = live.unionByName(schemas).unionByName(rest).select(F.to_json(F.struct("*")).alias("line")).collect()
+        taken = rows.filter(F.col("kind") == FILE).select(*live.columns)
+        # Of tokens that differ behind a `#` only, such as the batches of a stream, the last is enough.
+        tokens = rows.filter(F.col("kind") == TOKEN).groupBy(F.substring_index("name", "#", 1)).agg(
+            F.max_by(F.struct(*live.columns), "number").alias("e")).select("e.*")
+        lines = live.unionByName(schemas).unionByName(taken).unionByName(tokens).select(F.to_json(F.struct("*")).alias("line")).collect()
         self.add_record([r["line"] for r in lines], self.last(), whole=True)
 
     def unused_folders(self, name: str) -> list[str]:
