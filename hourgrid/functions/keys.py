@@ -17,7 +17,17 @@ def range_cuts(df: DataFrame, value: Column, ranges: int) -> Column:
 
 
 def range_of(cuts: Column, value: Column) -> Column:
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0))
+    """How many of the ascending cuts lie below the value: a binary search, so very many cuts cost little more than a few."""
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.size(cuts) + 1)).cast("int"), F.lit(1)))
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+
+    def halve(span, _):
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        below = F.coalesce(F.get(cuts, middle) < value, F.lit(False)) & (span["lo"] < span["hi"])
+        return F.struct(F.when(below, middle + 1).otherwise(span["lo"]).alias("lo"),
+                        F.when(below, span["hi"]).otherwise(F.least(middle, span["hi"])).alias("hi"))
+
+    return F.coalesce(F.aggregate(steps, start, halve)["lo"], F.lit(0))
 
 
 def text_ranges(df: DataFrame, name: str) -> DataFrame:

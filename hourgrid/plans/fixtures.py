@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hourgrid import schema as S
 from hourgrid.functions import geometry as G
 from hourgrid.operators import aggregate, alerts, anomaly, clean, geo, learning, series, warehouse
-from hourgrid.session import stored
+from hourgrid.session import stored, stored_by
 
 EVENT_MEASURE = {
     "smsin": "click", "smsout": "signup", "callin": "purchase", "callout": "error",
@@ -214,9 +214,10 @@ class Workspace:
 
 
 class StoredWorkspace(Workspace):
-    """The same frames, the hourly table and what is derived from it written once and read from there.
+    """The same frames over an hourly table that is written once, laid out by grid.
 
-    Raw events are read once. The tables lie in the shared folder that the session names.
+    Raw events are read once. All windows and joins go by grid, so what is derived from the table needs no further
+    exchange. It lies in the shared folder that the session names.
     """
 
     @property
@@ -225,23 +226,9 @@ class StoredWorkspace(Workspace):
 
     @cached_property
     def hourly(self):
-        return stored(super().hourly, "hourly")
-
-    @cached_property
-    def features(self):
-        return stored(super().features, "features")
-
-    @cached_property
-    def alerts(self):
-        return stored(super().alerts, "alerts")
-
-    @cached_property
-    def scores(self):
-        return stored(super().scores, "scores")
-
-    @cached_property
-    def labelled(self):
-        return stored(super().labelled, "labelled")
+        # Joins on (grid, time) may use the layout by grid.
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        return stored_by(super().hourly, "hourly", "grid_id", ("timestamp",))
 
     @cached_property
     def dim_time(self):

@@ -64,34 +64,34 @@ QUERIES = {
         lambda ws: AL.activity_floor(ws.hourly),
         f"SELECT {R('activity_floor')} AS activity_floor FROM floor"),
     "above_floor_rows": (
-        lambda ws: AL.above_floor_rows(ws.hourly).select(
+        lambda ws: AL.above_floor_rows(ws.stored.hourly).select(
             *S.KEYS, "daily_total_activity", "above_activity_floor"),
         f"""SELECT h.grid_id, {T('h.timestamp')} AS timestamp, {R('d.day_total')} AS daily_total_activity,
             d.day_total >= (SELECT activity_floor FROM floor) AS above_activity_floor
             FROM hourly h JOIN days d ON d.grid_id = h.grid_id AND d.date = h.date"""),
     "rule_alerts": (
-        lambda ws: ws.alerts.drop("reason"), f"SELECT {_ALERT} FROM alerts"),
+        lambda ws: ws.stored.alerts.drop("reason"), f"SELECT {_ALERT} FROM alerts"),
     "rule_alert_reasons": (
-        lambda ws: _texts(ws.alerts, {"ACTIVITY_SPIKE": {2: "current_activity"}, "HIGH_ACTIVITY": _AROUND, "ACTIVITY_DROP": _AROUND},
+        lambda ws: _texts(ws.stored.alerts, {"ACTIVITY_SPIKE": {2: "current_activity"}, "HIGH_ACTIVITY": _AROUND, "ACTIVITY_DROP": _AROUND},
                           "alert_type").select(*S.KEYS, "alert_type", "wording", "numbers_agree"),
         f"""SELECT grid_id, {T('timestamp')} AS timestamp, alert_type, CASE alert_type
             WHEN 'HIGH_ACTIVITY' THEN 'Current activity # is at least #x the within-day baseline #.'
             WHEN 'ACTIVITY_SPIKE' THEN 'Activity increased from # to #, at least #x the previous hour.'
             ELSE 'Current activity # is at or below #x the within-day baseline #.' END AS wording, true AS numbers_agree FROM alerts"""),
     "alert_summary": (
-        lambda ws: AL.alert_summary(ws.alerts, ws.hourly),
+        lambda ws: AL.alert_summary(ws.stored.alerts, ws.stored.hourly),
         f"""SELECT a AS alerts, k AS alerting_grid_hours, n AS grid_hours, {R(ratio('k', 'n'))} AS alerting_rate
             FROM (SELECT (SELECT count(*) FROM alerts) AS a, (SELECT count(*) FROM alert_keys) AS k,
                   (SELECT count(*) FROM hourly) AS n) s"""),
     "alerts_by_type": (
-        lambda ws: AN.category_counts(ws.alerts, "alert_type", S.ALERT_TYPES, "alerts"),
+        lambda ws: AN.category_counts(ws.stored.alerts, "alert_type", S.ALERT_TYPES, "alerts"),
         f"""SELECT name AS alert_type, count(a.rule) AS alerts FROM {_values(S.ALERT_TYPES)}
             LEFT JOIN alerts a ON a.alert_type = v.name GROUP BY 1"""),
     "alerts_top_grids": (
-        lambda ws: AL.top_alerting_grids(ws.alerts),
+        lambda ws: AL.top_alerting_grids(ws.stored.alerts),
         "SELECT grid_id, count(*) AS alerts FROM alerts GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
     "latest_alert_per_grid": (
-        lambda ws: AL.latest_per_grid(ws.alerts, ws.as_of).drop("reason"),
+        lambda ws: AL.latest_per_grid(ws.stored.alerts, ws.stored.as_of).drop("reason"),
         f"SELECT {_ALERT} FROM last_alert"),
     # --- anomalies
     "anomaly_scores": (

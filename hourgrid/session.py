@@ -56,3 +56,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, name: str, key: str, sort=()) -> DataFrame:
+    """`df` as a table in the shared folder, bucketed by `key` and sorted inside its files.
+
+    Windows and joins whose keys include `key` need no exchange then; for joins, `requireAllClusterKeysForCoPartition`
+    must be off, as `build_session` sets it. One file a bucket, as many buckets as shuffle partitions.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{table}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key, *sort).option("path", path).saveAsTable(table)
+    return spark.table(table)
