@@ -5,7 +5,7 @@ map side first, so a grid holding a large share of the raw rows sends one partia
 per task and hour. Its result is unique by (grid_id, timestamp); later operators read it.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hourgrid import schema as S
 from hourgrid.functions import columns as C
@@ -158,3 +158,15 @@ def recompute_check(activity: DataFrame, hourly: DataFrame, tolerance=1e-6) -> D
         F.count(F.lit(1)).alias("groups"),
         F.count_if(F.coalesce(off, F.lit(True))).alias("mismatches"),
     )
+
+
+def grid_sketches(hourly: DataFrame) -> DataFrame:
+    """For each date the grids, counted exactly and as a sketch that merges with those of other dates."""
+    return hourly.groupBy("date").agg(
+        F.count_distinct("grid_id").alias("grids"), F.hll_sketch_agg("grid_id", F.lit(14)).alias("grid_sketch"))
+
+
+def grids_up_to(sketches: DataFrame) -> DataFrame:
+    """Estimated distinct grids from the first date to each date, from the sketches alone: one row a date passes through a task."""
+    so_far = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    return sketches.select("date", F.hll_sketch_estimate(F.hll_union_agg("grid_sketch").over(so_far)).alias("grids_so_far"))

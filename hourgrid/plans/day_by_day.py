@@ -19,7 +19,8 @@ from hourgrid.sources.snapshots import Change, Store
 log = logging.getLogger("hourgrid.daily")
 
 ACTIVITY, HOURLY, FEATURES, TAIL = "activity", "hourly_grid_summary", "network_feature_table", "series_tail"
-TIMES, GRIDS, FACT, DAYS = "dim_time", "dim_grid", "fact_network_activity", "daily_totals"
+TIMES, GRIDS, FACT = "dim_time", "dim_grid", "fact_network_activity"
+DAYS, SKETCHES = "daily_totals", "daily_grid_sketches"
 ANOMALIES, ALERTS, RISK, LOCATED = "network_anomaly_scores", "network_alerts", "network_risk_scores", "grid_activity_geo"
 RISK_STORED = T.StructType([*S.RISK_SCHEMA.fields, T.StructField("date", T.DateType()), T.StructField("_version", T.LongType())])
 CLAIM_SCHEMA = "filename string, run_id string, row_count long, claimed_at timestamp"
@@ -101,7 +102,7 @@ def _rows_at(df: DataFrame, column: str) -> list:
 
 
 def advance(change: Change, activity: DataFrame) -> DataFrame:
-    """Add clean activity to the store: activity, hourly sums, daily totals, features and series tails. Returns the changed
+    """Add clean activity to the store: activity, hourly sums, daily totals and sketches, features and series tails. Returns the changed
     feature rows.
 
     Reads the stored rows of the dates that the new rows touch, and the tails. Only for a grid with rows that come late
@@ -118,6 +119,10 @@ def advance(change: Change, activity: DataFrame) -> DataFrame:
     kept = store.read(DAYS, totals.schema).filter(~F.col("date").cast("string").isin(touched))
     change.replace_whole(DAYS, kept.unionByName(totals).coalesce(1))
 
+    sketches = aggregate.grid_sketches(hours)
+    kept = store.read(SKETCHES, sketches.schema).filter(~F.col("date").cast("string").isin(touched))
+    change.replace_whole(SKETCHES, kept.unionByName(sketches).coalesce(1))
+
     series_schema = hours.select(*incremental.SERIES).schema
     tail = store.read(TAIL, series_schema)
     spans = stored(incremental.changed_spans(added), "spans")

@@ -2,17 +2,17 @@
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from hourgrid import schema as S
-from hourgrid.operators import clean, gates
+from hourgrid.operators import aggregate, clean, gates, geo, runs
 from hourgrid.plans import day_by_day
 from hourgrid.plans.fixtures import SCALE, Workspace
-from hourgrid.plans.oracle import T, rounded
+from hourgrid.plans.oracle import D, R, T, rounded
 from hourgrid.plans.queries_activity import QUERIES as ACTIVITY
 from hourgrid.plans.queries_rules import QUERIES as RULES, _rescored
 from hourgrid.session import shared_folder
-from hourgrid.sources import files
+from hourgrid.sources import files, sinks
 from hourgrid.sources.snapshots import Store
 
 # Column orders of daily files, by the day of the month modulo four; the last one lacks a column.
@@ -60,6 +60,75 @@ def _features(ws: Workspace):
     return _taken_in(ws).read(day_by_day.FEATURES).withColumn("active_hours", F.col("active_hours").cast("bigint")).drop("date")
 
 
+def _grids_so_far(ws: Workspace):
+    """Distinct grids up to each date from merged sketches, against an exact count of first days."""
+    hourly = ws.stored.hourly
+    guess = aggregate.grids_up_to(aggregate.grid_sketches(hourly))
+    first = hourly.groupBy("grid_id").agg(F.min("date").alias("date")).groupBy("date").agg(F.count(F.lit(1)).alias("new"))
+    so_far = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row a date
+    both = guess.join(first, "date", "left").withColumn("exact", F.coalesce(F.sum("new").over(so_far), F.lit(0)))
+    close = F.abs(F.col("grids_so_far") - F.col("exact")) <= F.col("exact") * 0.03
+    return both.select("date", F.col("exact").alias("grids"), close.alias("within_3_percent"))
+
+
+def _file_listing(ws: Workspace):
+    """Files of one row group each, an empty one among them: names, lengths above zero, and rows by file from the lineage column."""
+    folder = _folder(ws, "listed")
+    ws.raw.select(*S.RAW_COLUMNS, F.concat(F.lit("d"), F.dayofmonth("datetime").cast("string")).alias("day")).repartition("day").write.partitionBy(
+        "day").option("header", True).csv(folder)
+    read = ws.spark.read.option("header", True).schema(S.RAW_TEXT_SCHEMA).csv(folder)
+    lineage = read.withColumn("path", F.col("_metadata.file_path")).groupBy("path", "day").agg(F.count(F.lit(1)).alias("rows"))
+    found = files.discover_files(ws.spark, f"{folder}/*", "*.csv").withColumn("day", F.regexp_extract("path", "day=(d[0-9]+)", 1))
+    zone = gates.raw_zone_check(found)
+    by_day = lineage.groupBy("day").agg(F.sum("rows").alias("rows")).join(
+        found.groupBy("day").agg((F.min("length") > 0).alias("has_bytes")), "day")
+    return by_day.withColumn("zone_passed", zone.select("passed").scalar())
+
+
+def _polygons_read(ws: Workspace):
+    """The customer cells written as GeoJSON documents of at most a thousand cells and read as a lookup, with their centres."""
+    folder = _folder(ws, "grid")
+    cell = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("grid_id").alias("cellId")).alias("properties"),
+                              F.from_json("geometry", "type string, coordinates array<array<array<double>>>").alias("geometry")))
+    block = F.floor(F.col("grid_id").cast("bigint") / 1000).alias("block")
+    documents = ws.lookup.select(block, cell.alias("f")).groupBy("block").agg(F.concat(
+        F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    documents.write.partitionBy("block").text(folder)  # a document a file
+    return geo.centroids_by_box(files.read_geojson(ws.spark, folder)).select("grid_id", "centroid_latitude", "centroid_longitude")
+
+
+def _summaries_read(ws: Workspace):
+    """The exported daily and grid summaries as read back from their CSV files, one row for each file's sum."""
+    hourly, folder = ws.stored.hourly, _folder(ws, "export")
+    sinks.export_summaries(hourly, aggregate.daily_kpi(hourly), aggregate.grid_kpi(hourly), folder)
+    read = {n: ws.spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/{n}")
+            for n in ("daily_summary", "grid_summary", "grid_hour_summary")}
+    sums = [df.agg(F.lit(n).alias("summary"), F.count(F.lit(1)).alias("rows"), F.round(F.sum("total_activity"), 2).alias("total_activity"))
+            for n, df in read.items()]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2])
+
+
+def _table_round_trip(ws: Workspace):
+    """The hourly table written by date: its partitions, and rows and types as read back."""
+    hourly, path = ws.stored.hourly, _folder(ws, "by_date")
+    sinks.write_by_date(hourly, path)
+    back = ws.spark.read.parquet(path)
+    passed = sinks.round_trip_check(hourly.select(*back.columns), path).select("passed").scalar()
+    return files.partition_values(back).select("date", "rows").withColumn("passed", passed)
+
+
+def _status_read(ws: Workspace):
+    """A status record made of the activity's counts, written as JSON and read back."""
+    counts = clean.reject_counts(ws.stored.corrupted).select(
+        F.col("raw_rows").alias("rows_in"), F.col("rejected_rows").alias("rows_rejected"), F.lit(0).alias("nulls_handled"),
+        F.col("clean_rows").alias("rows_published"), F.lit("2024-02-01 00:00:00").cast("timestamp").alias("as_of"), "balanced")
+    path = _folder(ws, "status")
+    sinks.write_status(runs.publication_record(counts, {"row_balance": F.col("balanced"), "all_clean": F.col("rows_rejected") == 0},
+                                               "daily activity", "r1", "2024-02-01 00:00:00"), path)
+    return files.read_status(ws.spark, path).select(
+        "status", "quality_check", "rows_in", "rows_rejected", "rows_published", F.array_join("reasons", ",").alias("reasons"))
+
+
 def _added_scores(ws: Workspace):
     """Scores, then new ones for some keys, added as changes; one date range folded in between."""
     store = Store(ws.spark, _folder(ws, "scores"))
@@ -77,5 +146,26 @@ QUERIES = {
         f"""SELECT {T('timestamp')} AS timestamp, grid_id, country_code, {rounded(*S.MEASURES)} FROM raw WHERE day(timestamp) % 4 <> 3"""),
     "hourly_day_by_day": (_hourly, ACTIVITY["hourly_grid"][1]),
     "features_day_by_day": (_features, ACTIVITY["feature_table"][1]),
+    "grids_so_far": (
+        _grids_so_far,
+        f"""SELECT {D('d.date')} AS date, (SELECT count(DISTINCT grid_id) FROM hourly h WHERE h.date <= d.date) AS grids,
+            true AS within_3_percent FROM (SELECT DISTINCT date FROM hourly) d"""),
+    "file_listing": (
+        _file_listing,
+        "SELECT 'd' || day(timestamp) AS day, count(*) AS rows, true AS has_bytes, true AS zone_passed FROM raw GROUP BY 1"),
+    "polygons_read": (
+        _polygons_read,
+        f"SELECT grid_id, {R('(y0 + y1) / 2')} AS centroid_latitude, {R('(x0 + x1) / 2')} AS centroid_longitude FROM cells"),
+    "summaries_read": (
+        _summaries_read,
+        """SELECT 'daily_summary' AS summary, count(DISTINCT date) AS rows, round(sum(total_activity), 2) AS total_activity FROM hourly
+            UNION ALL SELECT 'grid_summary', count(DISTINCT grid_id), round(sum(total_activity), 2) FROM hourly
+            UNION ALL SELECT 'grid_hour_summary', count(*), round(sum(total_activity), 2) FROM hourly"""),
+    "table_round_trip": (
+        _table_round_trip, f"SELECT {D('date')} AS date, count(*) AS rows, true AS passed FROM hourly GROUP BY 1"),
+    "status_read": (
+        _status_read,
+        """SELECT 'FAILED' AS status, 'FAIL' AS quality_check, count(*) AS rows_in, count(reject_reason) AS rows_rejected,
+            count(*) - count(reject_reason) AS rows_published, 'all_clean' AS reasons FROM bad"""),
     "added_scores": (_added_scores, RULES["upsert_scores"][1]),
 }

@@ -5,7 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, differences
+from hourgrid.operators import alerts, anomaly
 from hourgrid.plans import catalog
+from hourgrid.plans.fixtures import Workspace
 
 TRAINED = {"risk_scores", "request_scores", "feature_importance"}
 SLOW = {"trained_evaluation"}  # 300 trees; compared by check.py and in test_trained_evaluation with few
@@ -46,13 +48,33 @@ def test_top_rows_are_broadcast_to_the_table(spark, folder, name):
     assert "BroadcastHashJoin" in plan and "RightOuter" not in plan
 
 
-@pytest.mark.parametrize("name", ["fact_activity", "wh_top_grids", "alerts_asof", "three_way_comparison", "top_movers",
-                                  "explain_grid", "hotspots_asof", "evidence_package_fields"])
+COMPOSITE = ["fact_activity", "wh_top_grids", "alerts_asof", "three_way_comparison", "top_movers", "explain_grid", "hotspots_asof",
+             "rule_alerts", "alert_summary", "alerts_by_type", "latest_alert_per_grid", "above_floor_rows"]
+
+
+@pytest.mark.parametrize("name", COMPOSITE)
 def test_raw_events_are_read_once(spark, folder, name):
     """Composite queries write the hourly table first; their own plan reads no raw events."""
     plan = catalog.registered()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
-    events = plan.count("event_type")
-    assert events == 0 or name == "evidence_package_fields"
+    assert plan.count("event_type") == 0
+
+
+def test_joins_and_windows_use_the_layout_by_grid(spark, folder):
+    """With a given floor, alerts and the three-way comparison over the stored hourly table exchange nothing."""
+    ws = Workspace(spark, folder).stored
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        ruled = alerts.rule_alerts(ws.hourly, 5.0)
+        for df in (ruled, anomaly.three_way_comparison(ws.predictions, ws.scores, ruled)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Window" in plan and "Bucketed: true" in plan and "Exchange" not in plan
+        assert "SortMergeJoin" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_entry(spark):
