@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from hourgrid import schema as S
 from hourgrid.functions import columns as C
 from hourgrid.functions.keys import number_of_ranges, range_cuts, range_of
+from hourgrid.operators.boosting import LeafwiseModel
 from hourgrid.operators.quality import request_errors, require_scorable
 from hourgrid.operators.series import hour_range_features, join_features
 from hourgrid.session import shared_folder
@@ -70,11 +71,13 @@ def fit_classifier(
         rows.unpersist()
 
 
-def model_inputs(model: PipelineModel) -> list[str]:
+def model_inputs(model: PipelineModel | LeafwiseModel) -> list[str]:
+    if isinstance(model, LeafwiseModel):
+        return model.inputs
     return model.stages[0].getInputCols()
 
 
-def require_model_schema(model: PipelineModel, features: DataFrame) -> None:
+def require_model_schema(model: PipelineModel | LeafwiseModel, features: DataFrame) -> None:
     """An error when the model's inputs are not the contract or not in the frame."""
     inputs = model_inputs(model)
     if inputs != S.MODEL_FEATURES:
@@ -82,7 +85,11 @@ def require_model_schema(model: PipelineModel, features: DataFrame) -> None:
     C.require_columns(features, inputs)
 
 
-def with_probability(model: PipelineModel, rows: DataFrame, name="prediction_probability"):
+def with_probability(
+    model: PipelineModel | LeafwiseModel, rows: DataFrame, name="prediction_probability"
+) -> DataFrame:
+    if isinstance(model, LeafwiseModel):
+        return model.with_probability(rows, name)
     scored = model.transform(rows)
     return scored.withColumn(name, vector_to_array("probability")[1]).drop(
         "model_features", "rawPrediction", "probability", "prediction"
@@ -100,7 +107,7 @@ def risk_rows(scored: DataFrame, version: str, probability="prediction_probabili
 
 
 def batch_score(
-    model: PipelineModel, windowed: DataFrame, temporal: DataFrame, version: str
+    model: PipelineModel | LeafwiseModel, windowed: DataFrame, temporal: DataFrame, version: str
 ) -> DataFrame:
     """Stored window features and fresh temporal features, checked, to risk rows."""
     rows = join_features(windowed, temporal, "inner")
@@ -109,7 +116,7 @@ def batch_score(
 
 
 def score_requests(
-    model: PipelineModel, requests: DataFrame, hourly: DataFrame, version: str
+    model: PipelineModel | LeafwiseModel, requests: DataFrame, hourly: DataFrame, version: str
 ) -> DataFrame:
     """Valid requests scored with exact-hour features of their own grid and time."""
     valid = request_errors(requests).filter(F.size("errors") == 0).drop("errors")
@@ -124,9 +131,11 @@ def with_prediction(scored: DataFrame, threshold, probability="prediction_probab
     return scored.withColumn("MODEL_PREDICTION", (F.col(probability) >= chosen).cast("int"))
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
+def feature_importance(model: PipelineModel | LeafwiseModel) -> DataFrame:
     """Importance per model input, highest first; as many rows as the model has inputs."""
     spark = SparkSession.active()
+    if isinstance(model, LeafwiseModel):
+        return model.importance(spark)
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(n, float(w)) for n, w in zip(model_inputs(model), weights)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(

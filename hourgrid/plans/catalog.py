@@ -4,12 +4,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourgrid.plans import queries_activity, queries_rules, queries_serving, queries_store
+from hourgrid.plans import queries_activity, queries_rules, queries_serving, queries_store, queries_trees
 from hourgrid.plans.fixtures import Workspace
 from hourgrid.plans.oracle import assemble
 from hourgrid.plans.present import present
 
-ENTRIES = {**queries_activity.QUERIES, **queries_rules.QUERIES, **queries_serving.QUERIES, **queries_store.QUERIES}
+ENTRIES = {**queries_activity.QUERIES, **queries_rules.QUERIES, **queries_serving.QUERIES, **queries_store.QUERIES, **queries_trees.QUERIES}
 
 
 def _runner(build) -> Callable[[SparkSession, str], DataFrame]:
