@@ -159,11 +159,14 @@ def main(argv=None):
     parser.add_argument("--reference", help="GeoJSON file of the grid")
     parser.add_argument("--run-id", default="manual")
     parser.add_argument("--now", required=True, help="time stamp of the run")
+    parser.add_argument("--model-table", help="table of a leaf-wise model, in place of --model")
     parser.add_argument("--model", help="folder of a stored classifier; features are scored with it")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     spark = build_session("daily activity")
     model = PipelineModel.load(args.model) if args.model else None
+    if args.model_table:
+        model = learning.LeafwiseModel.from_table(spark.read.parquet(args.model_table))
     run(spark, args.input, args.processed, args.analytics, args.reference, args.run_id, args.now, gated=True, model=model)
 
 
