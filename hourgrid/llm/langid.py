@@ -2,7 +2,7 @@
 
 A text is the mean of the embeddings of its byte trigrams, hashed to buckets; a softmax over languages follows.
 Both layers are trained together by stochastic gradient descent in NumPy, on about `SAMPLE_ROWS` labelled rows in equal shares
-of the languages, chosen by hash. A part of the sample is kept for calibration: a temperature makes the score a
+of the languages, chosen by hash. Every language of the labelled rows is learned. A part of the sample is kept for calibration: a temperature makes the score a
 probability, and the rejection threshold is the lowest that reaches `TARGET` accuracy on accepted texts, but no
 higher than rejects `MOST_REJECTED` of the right ones. Whole texts are scored in Arrow batches; the two layers are folded
 into one table of buckets by languages.
@@ -25,7 +25,7 @@ from hourgrid.llm.linear_text import byte_grams, fold, fold_of, segment_sums
 
 BITS, WIDTH, DIMENSIONS = 13, 3, 16
 SAMPLE_ROWS = 4000
-LANGUAGES = 200  # languages learned at most: the most frequent
+LEAST_ROWS = 10  # of a language, where it has so many; with very many languages the sample grows beyond `SAMPLE_ROWS`
 EPOCHS, STEPS, BATCH, RATE = 14, 1500, 32, 2.0  # at least so many epochs and steps
 CALIBRATION = 5  # one sample row of so many
 TARGET, MOST_REJECTED = 0.98, 0.001
@@ -81,8 +81,8 @@ def _features(text: str):
 
 def labelled_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> list:
     """About `rows` rows (lang, at, share), as even over languages as there are rows; `labelled` has key, text, lang."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    shares, left = {}, rows
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row a language
+    shares, left = {}, max(rows, LEAST_ROWS * len(counts))
     for k, r in enumerate(sorted(counts, key=lambda r: r["count"])):
         take = min(r["count"], left / (len(counts) - k))
         shares[r["lang"]] = take / r["count"]

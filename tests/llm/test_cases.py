@@ -160,6 +160,18 @@ def test_language_id_cases(odd, frame):
     assert {(r.lang_pred, r.score) for r in langid.identify(odd, empty).collect()} == {("und", 0.0)}
 
 
+def test_language_id_learns_every_language(frame):
+    """More languages than 200, equal in rows: each is learned and found again by its words."""
+    rng = random.Random(11)
+    vocabulary = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4)] for _ in range(250)]
+    assert len({w for words in vocabulary for w in words}) == 1000
+    rows = [(250 * j + k, prose(rng, 12, vocabulary[k]), f"l{k:03d}") for j in range(12) for k in range(250)]
+    model = langid.fit(frame(rows, "doc_id long, text string, lang string"), rows=1000)
+    assert len(model.languages) == 250
+    got = langid.identify(frame(rows, "doc_id long, text string, lang string"), model)
+    assert got.filter("lang = lang_pred").count() > 0.9 * len(rows)
+
+
 def test_quality_cases(odd, frame):
     rng = random.Random(8)
     rows = [(str(i), prose(rng, 30), 1) for i in range(60)] + [(str(100 + i), prose(rng, 20).upper() + "!!", 0) for i in range(60)]
