@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import bisect
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -287,3 +289,45 @@ def test_secrets_linked_only_together(frame):
         [], [], [], ["identifier", "bare"], [], ["endpoint", "identifier", "bare"], [], ["identifier", "bare"]]
     clean = secrets.redact_secrets(frame([(1, f"a {user} {bare} é password=hunter2222 z"), (2, None)], "doc_id int, text string"))
     assert [r.text for r in clean.orderBy("doc_id").collect()] == ["a [IDENTIFIER] [BARE] é [ASSIGN] z", None]
+
+
+def test_secrets_many_spans(frame):
+    """Time in proportion to the spans, links and gaps as in brute force."""
+    rng = random.Random(14)
+    bare, parts = "Zk3Jx9QpLm2Rt8VbNc5YwA71", []
+    for i in range(10_000):
+        parts.append(rng.choice(["password=hunter2222", f"user=name{i}", bare, "https://db.example.com:8443/x", "AKIA" + "Z9" * 8, "é" * 90]))
+    text = " ".join(parts)
+    docs = frame([(1, text)], "doc_id int, text string")
+    secrets.find_secrets(frame([(1, "user=x token=abcdefghi")], "doc_id int, text string")).collect()
+    begun = time.monotonic()
+    spans = secrets.find_secrets(docs).first().spans
+    assert time.monotonic() - begun < 10 and len(text) > 200_000
+    assert [(s.kind, s.start, s.end) for s in spans if s.kind in secrets.BASE] == spans_of(text)
+    near = {"identifier": [secrets.SECRETS], "bare": [secrets.HOLDERS], "endpoint": [secrets.SECRETS, secrets.HOLDERS]}
+    at, weak, every = 0, [], []
+    for part in parts:
+        kind = {"p": "assign", "u": "identifier", "Z": "bare", "h": "endpoint", "A": "access"}.get(part[0])
+        if kind:
+            every.append((kind, at))
+        at += len(part) + 1
+    at_of = [a for _, a in every]
+    for kind, start in every:
+        close = {k for k, a in every[bisect.bisect_left(at_of, start - secrets.SCOPE):bisect.bisect_right(at_of, start + secrets.SCOPE)]}
+        if kind in near and all(close & set(need) for need in near[kind]):
+            weak.append((kind, start))
+    assert [(s.kind, s.start) for s in spans if s.kind not in secrets.BASE] == weak
+    clean = secrets.redact_secrets(docs).first().text
+    held, out = 0, []
+    for s in spans:
+        out += [text[held:s.start], f"[{s.kind.upper()}]"]
+        held = s.end
+    assert clean == "".join(out) + text[held:]
+
+
+def test_secrets_weak_spans_beside_base_spans(frame):
+    """A weak span that overlaps a base span, before or behind it, counts for nothing."""
+    texts = ["user=abc secret=user=name1234 https://x.example.com/p?token=abcdefgh", "login=" + "deadbeef" * 5 + " password=longenough",
+             "https://a.example.com/" + "0123456789abcdef" * 3 + " account=me12 password=longenough"]
+    got = secrets.find_secrets(frame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [[s.kind for s in r.spans] for r in got] == [["identifier", "assign", "assign"], ["hex", "assign"], ["hex", "identifier", "assign"]]
