@@ -2,14 +2,17 @@
 
 A source's repetition rate is the weight it should have over the size it has, times the size of the mix. Each document
 draws its count from a Poisson distribution of that mean by inversion of a hash-seeded uniform value, is exploded by
-the count, and the copies are sorted by a hash, which shuffles them globally. Sizes are summed per task before they
-are exchanged, and a copy's place depends on its own hash alone, so no source makes a hot task.
+the count, and the copies are sorted by a hash, which shuffles them globally: the hash is even, so its first digits name the
+range of a copy, and one exchange orders all. Sizes are summed per task before they are exchanged.
+
+Rates of sources with at least a share `LARGE` of the rows or characters, of which there can be 2 / `LARGE` at most, are broadcast; documents of
+all other sources meet their rates by an exchange, in which no source is large. So no source makes a hot task, however many there are.
 
 Means above `STEP` are drawn as sums of independent values with means up to `STEP`, which keeps the table
 of the inverse short: one row per source.
 
-Cases: a null source is a source of its own. Null text has size 0. Repeated rows draw the same count and keep all
-their copies. A source of size 0 or without target weight has rate 0. An empty table gives no rows. Columns named copy or
+Cases: a null source is a source of its own. Null text has size 0. A row without key takes the hash of all its columns for one. Repeated
+rows draw the same count and keep all their copies. A source of size 0 or without target weight has rate 0. An empty table gives no rows. Columns named copy or
 shuffle_key are replaced.
 """
 
@@ -22,7 +25,7 @@ SEED = 20
 STEP = 16.0
 TAIL = 80  # terms of the inverse: beyond, the chance at mean STEP is below 1e-30
 TEMPERATURE = 0.7
-MOST_SENT = 20_000  # rows of rates that may be broadcast, 14 MB
+LARGE = 1e-3  # 2,000 rates at most are broadcast, 1.4 MB
 
 
 def uniform(*parts: Column) -> Column:
@@ -32,9 +35,9 @@ def uniform(*parts: Column) -> Column:
 
 
 def source_sizes(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """Characters by source."""
+    """Characters (size) and rows by source."""
     return docs.groupBy(F.col(f"`{source}`").cast("string").alias("source")).agg(
-        F.sum(F.coalesce(F.length(f"`{text}`"), F.lit(0)).cast("long")).alias("size"))
+        F.sum(F.coalesce(F.length(f"`{text}`"), F.lit(0)).cast("long")).alias("size"), F.count(F.lit(1)).alias("rows"))
 
 
 def tempered_weights(sizes: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
@@ -52,11 +55,13 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: int |
     sizes = source_sizes(docs, text, source)
     weights = tempered_weights(sizes) if weights is None else weights.select(
         F.col("source").cast("string").alias("source"), F.col("weight").cast("double").alias("weight"))
-    weighed = sizes.alias("s").join(weights.alias("w"), F.expr("s.source <=> w.source")).select("s.source", "size", "weight")
+    weighed = sizes.alias("s").join(weights.alias("w"), F.expr("s.source <=> w.source")).select("s.source", "size", "rows", "weight")
     all_weight = weighed.agg(F.sum("weight")).scalar()
     size = F.lit(total).cast("double") if total is not None else weighed.agg(F.sum("size").cast("double")).scalar()
     rate = F.coalesce(F.when(F.col("size") > 0, F.col("weight") / all_weight * size / F.col("size")), F.lit(0.0))
-    rates = weighed.select("source", rate.alias("rate")).withColumn(
+    share = sizes.agg(F.sum("size").cast("double").alias("size"), F.sum("rows").alias("rows"))
+    large = (F.col("size") >= share.select("size").scalar() * LARGE) | (F.col("rows") >= share.select("rows").scalar() * LARGE)
+    rates = weighed.select("source", rate.alias("rate"), large.alias("large")).filter("rate > 0").withColumn(
         "draws", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")).withColumn(
         "mean", F.col("rate") / F.col("draws"))
     # Distribution function at 0, 1, 2, ...: state (k, chance of k, sums).
@@ -67,20 +72,20 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: int |
             (s["p"] * F.col("mean") / k).alias("p"),
             F.concat(s["sums"], F.array(F.element_at(s["sums"], -1) + s["p"] * F.col("mean") / k)).alias("sums")),
         lambda s: s["sums"])
-    rates = storage.staged(rates.select(F.col("source").alias("rate_source"), "draws", table.alias("below")), "rates")
+    rates = storage.staged(rates.select(F.col("source").alias("rate_source"), "large", "draws", table.alias("below")), "rates")
     kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     draw = storage.free_name(docs, "times")
-    ident = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    # One row a source. Where there are few, documents stay where they are until the shuffle.
-    joined = docs.join(storage.sized(rates, MOST_SENT), F.col(f"`{source}`").cast("string").eqNullSafe(F.col("rate_source")), "left")
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.coalesce("draws", F.lit(1))), F.lit(0),
-        lambda n, j: n + F.size(F.filter(F.coalesce("below", F.array(F.lit(1.0))),
-                                         lambda c: c < uniform(F.lit(seed), ident, j))))
+    ident = F.coalesce(F.col(f"`{key}`").cast("string"), F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept]))))
+    same = F.col(f"`{source}`").cast("string").eqNullSafe(F.col("rate_source"))
+    joined = docs.join(F.broadcast(rates.filter("large")), same).union(docs.join(rates.filter("not large").hint("shuffle_hash"), same))
+    count = F.aggregate(F.sequence(F.lit(1), "draws"), F.lit(0), lambda n, j: n + F.size(
+        F.filter("below", lambda c: c < uniform(F.lit(seed), ident, j))))
     counted = joined.select(*[F.col(f"`{c}`") for c in kept], count.alias(draw)).filter(F.col(draw) > 0)
     copies = counted.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(1), F.col(draw))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed), ident, "copy")))
-    return keyed.orderBy("shuffle_key", "copy")
+    ranges = storage.partitions(docs.sparkSession)
+    digits = F.conv(F.substring("shuffle_key", 1, 7), 16, 10).cast("long")
+    return keyed.repartitionById(ranges, F.shiftright(digits * ranges, 28).cast("int")).sortWithinPartitions("shuffle_key", "copy")
 
 
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
