@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourgrid.llm import storage, words
-from hourgrid.llm.linear_text import byte_grams, fold, sigmoid
+from hourgrid.llm.linear_text import byte_grams, fold, fold_of, sigmoid
 
 BITS = 16
 SAMPLE_ROWS = 6000
@@ -29,6 +29,7 @@ SMOOTHING, COST, EPOCHS, MIX = 1.0, 1.0, 15, 0.25
 CALIBRATION = 4
 SHAPE_WIDTHS = (3, 5)
 REPEATS = (1, 2, 4, 8)
+BUCKETS = (1 << BITS) + len(REPEATS)  # those of repeats lie behind the hashed ones
 ADDED = ("score", "predicted")
 
 # Character classes: small letters, capitals, digits, white space; punctuation stands for itself.
@@ -57,14 +58,14 @@ def features(column: pa.Array) -> list[np.ndarray]:
             parts = [single_at[lo:hi], pair_at[lo:max(hi - 1, lo)]]
             parts += [h[c[i]:c[i + 1]].astype(np.int32) for h, c in shapes]
             repeat = int(runs[lo + 1:hi].max(initial=0)) if hi - lo > 1 else 0
-            parts.append(np.array([k for k, n in enumerate(REPEATS) if repeat >= n], dtype=np.int32))
+            parts.append(np.array([(1 << BITS) + k for k, n in enumerate(REPEATS) if repeat >= n], dtype=np.int32))
             out.append(np.unique(np.concatenate(parts)))
     return out
 
 
 def _count(batches):
     """Documents of each class by bucket, over the whole partition."""
-    totals = np.zeros((2, 1 << BITS), dtype=np.int64)
+    totals = np.zeros((2, BUCKETS), dtype=np.int64)
     rows = np.zeros(2, dtype=np.int64)
     for batch in batches:
         for at, label in zip(features(batch.column("text")), batch.column("label").to_pylist(), strict=True):
@@ -79,7 +80,8 @@ def _count(batches):
 def _sparse(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array(features(batch.column("text")), pa.list_(pa.int32()))], names=["label", "at"])
+            [batch.column("key"), batch.column("label"), pa.array(features(batch.column("text")), pa.list_(pa.int32()))],
+            names=["key", "label", "at"])
 
 
 @dataclass
@@ -139,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         rows: int = SAMPLE_ROWS) -> Model:
     """A model of the texts of `docs` that have a label (0 or 1) in `labels`; both have the column `key`.
 
-    Labels are sent to the documents while they are few (see `storage.sized`); the rows of the sample always are.
+    Labels, of which there may be as many as documents, meet the texts by an exchange; only the rows of the sample are broadcast.
+    The sample is put in an order of its own, so the model does not depend on how rows lie in files.
     """
     storage.bounded_batches(docs)
 
@@ -149,18 +152,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marks = storage.staged(labels.filter(F.col(f"`{label}`").isin(0, 1)).select(
         ident(labels), F.col(f"`{label}`").cast("int").alias("label")), "labels")
     texts = docs.select(ident(docs), F.col(f"`{text}`").alias("text"))
-    counts = texts.join(storage.sized(marks), "key").select("label", "text").mapInArrow(
+    counts = texts.join(marks.hint("merge"), "key").select("label", "text").mapInArrow(
         _count, "at int, low long, high long").groupBy("at").agg(
         F.sum("low").alias("low"), F.sum("high").alias("high")).toPandas()  # one row a bucket at most
     total = counts[counts["at"] == -1]
     low, high = (int(total[c].sum()) for c in ("low", "high"))
-    size = 1 << BITS
+    size = BUCKETS
     if not low or not high:
         return Model(np.zeros(size), 0.0, 0.0, 0.0)
     share = min(rows / (low + high), 1.0)
     chosen = marks.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = texts.join(F.broadcast(chosen), "key").select("label", "text").mapInArrow(
-        _sparse, "label int, at array<int>").collect()  # the chosen labels are about `rows`
+    sample = texts.join(F.broadcast(chosen), "key").select("key", "label", "text").mapInArrow(
+        _sparse, "key string, label int, at array<int>").collect()  # the chosen labels are about `rows`
+    sample.sort(key=lambda r: (fold_of(r["key"], 1 << 32), r["key"], r["label"], r["at"]))
     counts = counts[counts["at"] >= 0]
     p, q = np.full(size, SMOOTHING), np.full(size, SMOOTHING)
     p[counts["at"]] += counts["high"]
@@ -204,5 +208,6 @@ def rate(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) ->
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = storage.table(spark, folder, "documents").select("doc_id", "text")
     labels = storage.table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = fit(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
+    learned = fold(F.col("doc_id"), 4) != 2
+    model = fit(docs.filter(learned), labels.filter(learned))
     return rate(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
