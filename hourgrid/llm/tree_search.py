@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourgrid.llm import storage
@@ -176,12 +176,15 @@ def calibrated_visits(tree: Tree, entries: DataFrame, queries: DataFrame, k: int
     rows = queries.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").collect()
     if not rows:
         return tree.leaves
-    probes = np.array([r.v for r in rows])
+    probes = np.array(sorted(r.v for r in rows))
     places = np.empty((len(probes), tree.leaves), dtype=np.int32)
     for i, q in enumerate(probes):
         places[i, list(tree.visits(q))] = np.arange(tree.leaves)
     found = entries.mapInArrow(_probe(spark.sparkContext.broadcast((probes, places, k))),
-                               "probe int, score double, place int, copies int").toPandas()
+                               "probe int, score double, place int, copies int")
+    # Of the best of all partitions the best `k` of each probe reach the driver.
+    first = Window.partitionBy("probe").orderBy(F.desc("score"), "place", "copies")
+    found = found.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k).drop("nth").toPandas()
     found = found.sort_values(["probe", "score"], ascending=[True, False])
     needed = []
     for _, g in found.groupby("probe"):
@@ -279,7 +282,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     total = entries.count()
     share = min(SAMPLE_ROWS / max(total, 1), 1.0)
     sample = entries.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").collect()
-    x = np.array([r.v for r in sample])
+    x = np.array(sorted(r.v for r in sample))  # in an order of its own: the tree does not depend on how rows lie in files
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = Tree(x)
