@@ -2,7 +2,7 @@
 
 Each text is cut at ASCII white space, where no token of the vocabulary and no step of its normaliser
 reaches across. The distinct pieces of a batch are encoded by the library in sub-batches of even bytes, and a text's
-count is the sum over its pieces. Pieces seen before come from a table of bounded size. A piece longer than
+count is the sum over its pieces. Short pieces seen before come from a table of bounded number, thus of bounded bytes. A piece longer than
 `PIECE_BYTES` is cut further where a letter or digit is followed by a digit, or punctuation by a letter.
 
 Cases: null and empty texts have no tokens. Repeated rows each get their row. Other columns are kept.
@@ -24,7 +24,7 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 PIECE_BYTES = 1 << 16
 BATCH_BYTES = 1 << 18
-KNOWN_PIECES = 400_000
+KNOWN_PIECES, KNOWN_BYTES = 400_000, 64  # pieces kept, and the longest of them
 SAFE_CUT = re.compile(rb"(?<=[A-Za-z0-9])(?=[0-9])|(?<=[.,;:!?])(?=[A-Za-z0-9])")
 
 
@@ -69,18 +69,16 @@ def encode_lengths(tokenizer, pieces: list[bytes]) -> list[int]:
 
 def count_texts(texts: list[bytes], path: str) -> list[int]:
     tokenizer, known = _tokenizer(path), _known(path)
-    if len(known) > KNOWN_PIECES:
-        known.clear()
     split = [t.split() for t in texts]
     new = list({p for pieces in split for p in pieces if p not in known})
     short = [p for p in new if len(p) <= PIECE_BYTES]
-    known.update(zip(short, encode_lengths(tokenizer, short), strict=True))
-    long = [p for p in new if len(p) > PIECE_BYTES]
-    for p in long:
-        known[p] = sum(encode_lengths(tokenizer, short_parts(p)))
-    counts = [sum(map(known.__getitem__, pieces)) for pieces in split]
-    for p in long:
-        del known[p]
+    lengths = dict(zip(short, encode_lengths(tokenizer, short), strict=True))
+    lengths |= {p: sum(encode_lengths(tokenizer, short_parts(p))) for p in new if len(p) > PIECE_BYTES}
+    counts = [sum(lengths[p] if p in lengths else known[p] for p in pieces) for pieces in split]
+    kept = [p for p in short if len(p) <= KNOWN_BYTES][:KNOWN_PIECES]
+    if len(known) + len(kept) > KNOWN_PIECES:
+        known.clear()
+    known.update((p, lengths[p]) for p in kept)
     return counts
 
 
