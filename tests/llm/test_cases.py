@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hourgrid.llm import (decontaminate, graph, hmm, langid, mixing, ngram_join, quality, secrets, tokens, tree_search, urls)
 from test_queries import LOWER, SPACED, least_of_groups
@@ -331,3 +332,54 @@ def test_secrets_weak_spans_beside_base_spans(frame):
              "https://a.example.com/" + "0123456789abcdef" * 3 + " account=me12 password=longenough"]
     got = secrets.find_secrets(frame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
     assert [[s.kind for s in r.spans] for r in got] == [["identifier", "assign", "assign"], ["hex", "assign"], ["hex", "identifier", "assign"]]
+
+
+def test_models_do_not_depend_on_layout(frame):
+    """The same rows in other files give the same models."""
+    rng = random.Random(15)
+    texts = [(i, prose(rng, rng.randrange(5, 40)) + (" !!" if i % 3 else "")) for i in range(600)]
+    v = np.random.default_rng(3).standard_normal((600, 6))
+    docs = frame([(i, t, int(i % 3 > 0), v[i].tolist()) for i, t in texts], "doc_id long, text string, label int, v array<double>")
+    got = []
+    for table in (docs, docs.orderBy(F.desc("doc_id")).repartition(5, "text")):
+        model = quality.fit(table.select("doc_id", "text"), table.select("doc_id", "label"), rows=200)
+        scored = hmm.score_texts(table.select("doc_id", "text"), F.col("doc_id") % 7 == 2).orderBy("doc_id").toPandas()
+        near = tree_search.nearest(table, table.filter("doc_id % 20 = 0"), "doc_id", "v", 5).orderBy("query_id", "rank").toPandas()
+        got.append((model, scored, near))
+    (a, b) = got
+    assert np.array_equal(a[0].weights, b[0].weights) and (a[0].slope, a[0].offset) == (b[0].slope, b[0].offset)
+    assert np.allclose(a[1].score, b[1].score, rtol=1e-6) and a[1].base_score.round(6).equals(b[1].base_score.round(6))
+    assert a[2].equals(b[2])
+
+
+def test_mixing_rows_without_key(frame):
+    docs = frame([(None, f"text {i}", "a") for i in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).toPandas()
+    counts = got.groupby("text").size()
+    assert set(counts) >= {1, 2, 3} and len(got) == pytest.approx(400, rel=0.2)
+    assert got.shuffle_key.nunique() == len(got)
+
+
+def test_mixing_many_small_sources(frame, monkeypatch):
+    """Rates sent to the documents and rates met by an exchange give the same mix."""
+    docs = frame([(i, "x" * (i % 50), "big" if i % 3 == 0 else None if i % 7 == 0 else f"s{i % 1500}") for i in range(4000)],
+                 "doc_id long, text string, source string")
+    mixed = []
+    for share in (0.0, mixing.LARGE, 2.0):
+        monkeypatch.setattr(mixing, "LARGE", share)
+        mixed.append(mixing.mix_sources(docs).toPandas())
+    assert len(mixed[0]) > 1000 and mixed[0].equals(mixed[1]) and mixed[0].equals(mixed[2])
+    assert mixed[0].shuffle_key.is_monotonic_increasing
+
+
+def test_known_pieces_are_bounded(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path(tokens.VOCABULARY)
+    texts = [b"some words here", b"z" * 500, b"more of the words " * 3]
+    whole = tokens.count_texts(texts, path)
+    monkeypatch.setattr(tokens, "KNOWN_PIECES", 3)
+    assert [tokens.count_texts([t], path)[0] for t in texts] == whole == tokens.count_texts(texts, path)
+    known = tokens._known(path)
+    assert len(known) <= 3 and all(len(p) <= tokens.KNOWN_BYTES for p in known)
+    known.clear()
