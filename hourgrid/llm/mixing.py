@@ -55,13 +55,14 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: int |
     sizes = source_sizes(docs, text, source)
     weights = tempered_weights(sizes) if weights is None else weights.select(
         F.col("source").cast("string").alias("source"), F.col("weight").cast("double").alias("weight"))
-    weighed = sizes.alias("s").join(weights.alias("w"), F.expr("s.source <=> w.source")).select("s.source", "size", "rows", "weight")
+    every = sizes.alias("s").join(weights.alias("w"), F.expr("s.source <=> w.source"), "left").select("s.source", "size", "rows", "weight")
+    weighed = every.filter("weight is not null")
     all_weight = weighed.agg(F.sum("weight")).scalar()
     size = F.lit(total).cast("double") if total is not None else weighed.agg(F.sum("size").cast("double")).scalar()
     rate = F.coalesce(F.when(F.col("size") > 0, F.col("weight") / all_weight * size / F.col("size")), F.lit(0.0))
     share = sizes.agg(F.sum("size").cast("double").alias("size"), F.sum("rows").alias("rows"))
     large = (F.col("size") >= share.select("size").scalar() * LARGE) | (F.col("rows") >= share.select("rows").scalar() * LARGE)
-    rates = weighed.select("source", rate.alias("rate"), large.alias("large")).filter("rate > 0").withColumn(
+    rates = every.select("source", rate.alias("rate"), large.alias("large")).withColumn(
         "draws", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")).withColumn(
         "mean", F.col("rate") / F.col("draws"))
     # Distribution function at 0, 1, 2, ...: state (k, chance of k, sums).
@@ -77,7 +78,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: int |
     draw = storage.free_name(docs, "times")
     ident = F.coalesce(F.col(f"`{key}`").cast("string"), F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept]))))
     same = F.col(f"`{source}`").cast("string").eqNullSafe(F.col("rate_source"))
-    joined = docs.join(F.broadcast(rates.filter("large")), same).union(docs.join(rates.filter("not large").hint("shuffle_hash"), same))
+    sent = F.broadcast(rates.filter("large"))
+    others = docs.join(sent.select("rate_source"), same, "left_anti")
+    joined = docs.join(sent, same).union(others.join(rates.filter("not large").hint("shuffle_hash"), same))
     count = F.aggregate(F.sequence(F.lit(1), "draws"), F.lit(0), lambda n, j: n + F.size(
         F.filter("below", lambda c: c < uniform(F.lit(seed), ident, j))))
     counted = joined.select(*[F.col(f"`{c}`") for c in kept], count.alias(draw)).filter(F.col(draw) > 0)
