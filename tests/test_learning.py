@@ -87,6 +87,21 @@ def test_request_scores_skip_invalid_requests(ws, model):
     assert got.count() == 6
 
 
+def test_boosting_runs_few_tasks(spark, monkeypatch):
+    """Spread-out training rows are all learned from, in tasks by their number and not by the layout."""
+    rows = spark.range(300).select(*[((F.col("id") * (k + 3)) % 17).cast("double").alias(n) for k, n in enumerate(S.MODEL_FEATURES)],
+                                   (F.col("id") % 17 > 8).cast("int").alias("HIGH_ACTIVITY"))
+    seen = []
+    fit = learning.Pipeline.fit
+    monkeypatch.setattr(learning.Pipeline, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())) or fit(self, df))
+    model = learning.fit_classifier(rows.repartition(40), trees=2, depth=2)
+    assert learning.with_probability(model, rows).count() == 300
+    monkeypatch.setattr(learning, "ROWS_A_TASK", 100)
+    learning.fit_classifier(rows.repartition(40), trees=1, depth=2)
+    learning.fit_classifier(rows.repartition(5), trees=1, depth=2)
+    assert seen == [(1, 300), (3, 300), (5, 300)]
+
+
 def test_model_survives_saving(ws, model, tmp_path):
     model.write().overwrite().save(str(tmp_path / "m"))
     from pyspark.ml import PipelineModel
