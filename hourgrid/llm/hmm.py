@@ -6,8 +6,10 @@ mass for unknown words (one type in each class). So the emission table of the la
 counts grow with the corpus and are joined by word. The counts of the `RESOLVED` most frequent words are broadcast
 (16 bytes each, 17 MB at most), and only tokens of rarer words are exchanged for the join.
 
-States are trained by Baum-Welch. A start comes from a small sample; then each iteration sends expected counts of all
-training texts, summed by partition and then by word class, to the driver: a table of fixed size. Texts are cut into
+States are trained by Baum-Welch. The start comes from all training texts, counted by symbol in `GROUPS` groups by their first
+symbol; groups are joined, those that lose least first, until one is left for each state. Then each iteration sends expected
+counts of all training texts, summed by partition and then by word class, to the driver: a table of fixed size, like that of
+the groups. Texts are cut into
 segments for training only; a later segment starts from the states' overall distribution. Scores come from the scaled
 forward recursion over the whole text, many texts side by side; texts of over `LONG` tokens multiply the transfer
 matrices of their segments, which gives the same likelihood.
@@ -28,7 +30,7 @@ from hourgrid.llm.linear_text import fold
 
 HEAD, CLASSES, RESOLVED = 8192, 8192, 1 << 20
 STATES, ITERATIONS, SEGMENT, CHUNK = 8, 3, 128, 2048
-START_TEXTS, START_TOKENS, START_ITERATIONS = 400, 4000, 30
+GROUPS, STAY = 32, 2000.0  # STAY: how often the states of the start follow themselves
 DISCOUNT, PRIOR = 0.5, 50.0
 LONG = 20_000
 END = 1  # the end's word hash
@@ -287,16 +289,51 @@ def maximise(first: np.ndarray, moved: np.ndarray, emitted: np.ndarray, unigram:
     return Hmm(start, move, emit, share / share.sum())
 
 
-def first_model(sample: list[np.ndarray], unigram: np.ndarray, states: int = STATES, seed: int = 3) -> Hmm:
-    """Baum-Welch on a small sample, from states that each lean to some of its texts."""
-    rng = np.random.default_rng(seed)
-    emitted = np.zeros((len(unigram), states))
-    for s in sample:
-        emitted[:, rng.integers(states)] += np.bincount(s, minlength=len(unigram))
-    model = maximise(np.zeros(states), 5.0 * len(sample) * np.eye(states), emitted, unigram)
-    for _ in range(START_ITERATIONS if sample else 0):
-        model = maximise(*model.counts(sample), unigram)
-    return model
+def _group_counts(batches):
+    """Tokens of the partition by symbol, in a column for each group of texts; a text goes by its first symbol."""
+    counts = np.zeros((GROUPS, HEAD + CLASSES), dtype=np.int64)
+    for batch in batches:
+        for b in batch.column("symbols").to_pylist():
+            symbols = np.frombuffer(b, dtype=np.uint16)
+            at, n = np.unique(symbols, return_counts=True)
+            counts[int(symbols[0]) % GROUPS, at] += n
+    used = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(g[used]) for g in counts]],
+                                     names=["at", *[f"g{g}" for g in range(GROUPS)]])
+
+
+def group_counts(learned: DataFrame) -> np.ndarray:
+    """Tokens of all texts of `learned` (symbols), symbols x groups."""
+    names = [f"g{g}" for g in range(GROUPS)]
+    counts = learned.select("symbols").mapInArrow(_group_counts, "at int, " + ", ".join(f"{g} long" for g in names))
+    table = counts.groupBy("at").agg(*[F.sum(g).alias(g) for g in names]).toArrow()
+    found = np.zeros((HEAD + CLASSES, GROUPS))
+    if table.num_rows:
+        found[table["at"].to_numpy()] = np.stack([table[g].to_numpy() for g in names], axis=1)
+    return found
+
+
+def joined_groups(counts: np.ndarray, states: int) -> np.ndarray:
+    """Symbols x states: groups joined pair by pair, always the pair whose common distribution costs least likelihood."""
+    def likelihood(v):
+        used = v[v > 0]
+        return float((used * np.log(used)).sum() - used.sum() * np.log(used.sum())) if len(used) else 0.0
+
+    groups = {g: counts[:, g] for g in range(counts.shape[1]) if counts[:, g].any()}
+    alone = {g: likelihood(v) for g, v in groups.items()}
+    cost = {(x, y): alone[x] + alone[y] - likelihood(groups[x] + groups[y]) for x in groups for y in groups if x < y}
+    while len(groups) > states:
+        x, y = min(cost, key=lambda pair: (cost[pair], pair))
+        groups[x] = groups[x] + groups.pop(y)
+        alone[x] = likelihood(groups[x])
+        cost = {pair: c for pair, c in cost.items() if y not in pair}
+        for z in groups:
+            if z != x:
+                cost[min(x, z), max(x, z)] = alone[x] + alone[z] - likelihood(groups[x] + groups[z])
+    emitted = np.zeros((len(counts), states))
+    for s, g in enumerate(sorted(groups)):
+        emitted[:, s] = groups[g]
+    return emitted
 
 
 def _expect(shared):
@@ -325,16 +362,11 @@ def _expect(shared):
 def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES) -> Hmm:
     """Baum-Welch over all training texts."""
     spark = encoded.sparkSession
-    learned = encoded.filter(~F.col("held_out")).select("doc_id", "n_tokens", "symbols")
-    brief = learned.filter(F.col("n_tokens") <= START_TOKENS)
-    share = min(START_TEXTS / max(brief.count(), 1), 1.0)
-    # By content, so that the model does not depend on how rows lie in files; a repeated row counts once here.
-    rows = brief.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "symbols"), F.lit(1 << 30)) < int(share * (1 << 30))).select(
-        "doc_id", "symbols").distinct().collect()
-    model = first_model([np.frombuffer(b, dtype=np.uint16) for b in sorted(bytes(r.symbols) for r in rows)], unigram, states)
+    learned = encoded.filter(~F.col("held_out")).select("symbols")
+    model = maximise(np.zeros(states), STAY * np.eye(states), joined_groups(group_counts(learned), states), unigram)
     columns = [f"s{s}" for s in range(states)]
     for _ in range(ITERATIONS):
-        sums = learned.select("symbols").mapInArrow(
+        sums = learned.mapInArrow(
             _expect(spark.sparkContext.broadcast(model)), "at int, " + ", ".join(f"{c} double" for c in columns))
         table = sums.groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
         if not table.num_rows:

@@ -383,3 +383,22 @@ def test_known_pieces_are_bounded(monkeypatch):
     known = tokens._known(path)
     assert len(known) <= 3 and all(len(p) <= tokens.KNOWN_BYTES for p in known)
     known.clear()
+
+
+def test_hmm_starts_from_every_text(frame):
+    """The start counts every token of every training text, long texts and repeated rows too; groups are joined by likeness."""
+    rng = random.Random(21)
+    sizes = [rng.randrange(0, 40) for _ in range(900)] + [5000]
+    rows = [(i % 700, np.array([rng.randrange(60) for _ in range(n)] + [0], dtype=np.uint16).tobytes()) for i, n in enumerate(sizes)]
+    counts = hmm.group_counts(frame(rows, "doc_id long, symbols binary").repartition(7))
+    want = np.zeros_like(counts)
+    for _, b in rows:
+        s = np.frombuffer(b, dtype=np.uint16)
+        np.add.at(want, (s, int(s[0]) % hmm.GROUPS), 1)
+    assert np.array_equal(counts, want)
+    like = np.zeros((hmm.HEAD + hmm.CLASSES, 5))
+    like[:4, 0] = like[:4, 3] = [9, 5, 1, 1]
+    like[10:14, 1] = like[10:14, 4] = [4, 4, 2, 7]
+    joined = hmm.joined_groups(like, 2)
+    assert np.array_equal(joined, np.stack([like[:, 0] * 2, like[:, 1] * 2], axis=1))
+    assert not hmm.joined_groups(like * 0, 2).any()
