@@ -2,9 +2,9 @@
 
 Documents with equal shingle sets form a class with the smallest id as representative; the join runs on classes.
 Two sets that reach the similarity share a shingle among the first quarter (at similarity 3/4) of either in any common
-order of shingles, so classes meet at each shingle of that part. Shingles found often in a
-sample of the documents come last in the order, which keeps passages that many documents share out of that part;
-the order changes only the cost, never the result.
+order of shingles, so classes meet at each shingle of that part. Shingles of many documents, counted exactly over all of
+them, come last in the order, which keeps passages that many documents share out of that part; the order changes only the
+cost, never the result.
 
 1. The least class of a shingle anchors the others with that shingle. Each class is compared with its anchors; links
    found give provisional components.
@@ -35,9 +35,10 @@ WIDTH = 5
 SIMILARITY = (75, 100)
 TILE = 1024  # sets of at most LEAST_WEIGHT shingles in a band; fewer larger ones
 LEAST_WEIGHT = 500
-COMMON_EVERY = 8  # one document of so many is read for the common shingles
-COMMON_SHARE = 1 / 500  # of the documents read
+COMMON_SHARE, COMMON_LEAST = 1 / 500, 8  # common is a shingle in more than this share of the documents, and in more than so many
 COUNTED_AT_ONCE = 2_000_000  # shingles
+COUNTED_DOCS = 4000  # documents for each task that counts, at least
+MARKS = 1 << 23
 WIDEST = 1 << 15  # bits of a bitmap
 SIGNED = "doc_id long, n long, s1 long, s2 long, first array<long>, bits binary"
 
@@ -79,13 +80,10 @@ def text_shingles(column: pa.Array) -> Iterator[np.ndarray]:
         yield from words.shingle_sets(words.hash_words(block, found), found.cuts, WIDTH)
 
 
-def _count_common(batches):
-    """Documents by shingle, of the shingles seen at least twice in a stretch of documents."""
+def _stretches(batches):
+    """(distinct shingles, documents of each, documents) of one stretch of documents after the other."""
     def counted(sets):
-        at, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-        kept = n > 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(at[kept].view(np.int64)), pa.array(n[kept], pa.int64())], names=["shingle", "n"])
+        return *np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True), len(sets)
 
     sets, size = [], 0
     for batch in batches:
@@ -98,16 +96,48 @@ def _count_common(batches):
     yield counted(sets)
 
 
+def _often_here(batches):
+    """Shingles of more than the share of a stretch's documents, and by how many documents they exceed it."""
+    for at, n, docs in _stretches(batches):
+        over = n - COMMON_SHARE * docs
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at[over > 0].view(np.int64)), pa.array(over[over > 0])], names=["shingle", "over"])
+
+
+def _count_marked(shared):
+    """Documents by shingle in each stretch, of shingles with a mark."""
+
+    def count(batches):
+        marks = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little").view(bool)
+        for at, n, _ in _stretches(batches):
+            kept = marks[(at & np.uint64(MARKS - 1)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at[kept].view(np.int64)), pa.array(n[kept], pa.int64())], names=["shingle", "n"])
+
+    return count
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles in more than `COMMON_SHARE` of the documents read.
+    """Shingles in more than `COMMON_SHARE` of all documents, and in more than `COMMON_LEAST`.
 
-    A document has a bounded share of them, so their number is at most the mean set size over `COMMON_SHARE`.
+    All documents are read twice. A shingle of more than the share of them has more than that in some stretch, and what it
+    exceeds there is at least what it exceeds in all. Such shingles mark a place by their last bits; then the documents of all
+    shingles at marked places are counted. A document has a bounded share of the result, so its size is at most the mean set
+    size over `COMMON_SHARE`.
     """
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_EVERY)) == 0)
-    total = some.count()
-    counts = some.select("text").mapInArrow(_count_common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = counts.filter(F.col("n") > max(total * COMMON_SHARE, 8)).select("shingle").toPandas()["shingle"]
-    return np.sort(found.to_numpy(dtype=np.int64).view(np.uint64))
+    spark = docs.sparkSession
+    total = docs.count()
+    limit = max(total * COMMON_SHARE, COMMON_LEAST)
+    texts = docs.select("text").coalesce(max(total // COUNTED_DOCS, 1))  # the smaller a stretch, the more often passes its share
+    often = texts.mapInArrow(_often_here, "shingle long, over double").groupBy("shingle").agg(F.sum("over").alias("over"))
+    places = often.filter(F.col("over") > limit - total * COMMON_SHARE - 1e-6).select(
+        F.col("shingle").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("place")).distinct().toArrow()["place"].to_numpy()
+    marks = np.zeros(MARKS, dtype=np.uint8)
+    marks[places] = 1
+    shared = spark.sparkContext.broadcast(np.packbits(marks, bitorder="little").tobytes())
+    counts = texts.mapInArrow(_count_marked(shared), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") > limit).select("shingle").toArrow()["shingle"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
 
 
 def _sign(shared):

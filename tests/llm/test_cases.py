@@ -402,3 +402,25 @@ def test_hmm_starts_from_every_text(frame):
     joined = hmm.joined_groups(like, 2)
     assert np.array_equal(joined, np.stack([like[:, 0] * 2, like[:, 1] * 2], axis=1))
     assert not hmm.joined_groups(like * 0, 2).any()
+
+
+def test_common_shingles_of_all_documents(frame, monkeypatch):
+    """Counted over all documents: a passage in documents that a sample by id would miss is found, in any layout."""
+    words = [f"w{i}" for i in range(3000)]
+    rng = random.Random(22)
+    passages = [" ".join(rng.choice(words) for _ in range(n)) for n in (5, 7, 9, 20)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(300)] + [None, ""]
+    hashed = frame([(i,) for i in range(300)], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("h"))
+    missed = [r.doc_id for r in hashed.filter("h <> 0").orderBy("doc_id").collect()]
+    for passage, many in zip(passages, (8, 9, 10, 40), strict=True):
+        for i in rng.sample(missed, many):
+            texts[i] += " " + passage
+    docs = frame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    (sets,) = [list(ngram_join.text_shingles(pa.array(texts, pa.string())))]
+    at, n = np.unique(np.concatenate(sets), return_counts=True)
+    want = at[n > 8]
+    assert len(want) == 3 + 5 + 16
+    assert np.array_equal(ngram_join.common_shingles(docs), want)
+    monkeypatch.setattr(ngram_join, "COUNTED_DOCS", 40)
+    assert np.array_equal(ngram_join.common_shingles(docs.repartition(9)), want)
+    assert not len(ngram_join.common_shingles(docs.limit(0)))
