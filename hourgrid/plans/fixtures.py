@@ -186,9 +186,12 @@ class Workspace:
             "prediction_probability", F.round(1.0 / (1.0 + F.exp(-x)), 6)
         )
 
+    def risk_of(self, features):
+        return learning.risk_rows(self._scored(features), VERSION)
+
     @cached_property
     def risk(self):
-        return learning.risk_rows(self._scored(self.features), VERSION)
+        return self.risk_of(self.features)
 
     @cached_property
     def labelled(self):

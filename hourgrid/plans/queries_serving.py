@@ -8,7 +8,7 @@ from hourgrid.operators import (
 )
 from hourgrid.plans.fixtures import VERSION
 from hourgrid.plans.oracle import R, T, rounded, trailing_mean
-from hourgrid.session import stored
+from hourgrid.session import stored, stored_by
 
 # Fixed value: the moment reports are read, the day after the last test event.
 NOW = "2024-01-31 12:00:00"
@@ -316,8 +316,10 @@ def _read_back(written):
 
 
 def _packages(ws):
+    """Features stand behind three parts of a record, so their windows are computed once."""
+    features = stored_by(ws.features, "features", "grid_id", ("feature_timestamp",))
     return V.evidence_packages(
-        ws.fact, ws.features, ws.dim_grid, ws.risk, ws.scores, ws.alerts, _record(ws)
+        ws.fact, features, ws.dim_grid, ws.risk_of(features), ws.scores, ws.alerts, _record(ws)
     )
 
 

@@ -79,3 +79,9 @@ def test_joins_and_windows_use_the_layout_by_grid(spark, folder):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
+
+
+def test_evidence_computes_features_once(spark, folder):
+    """Three parts of a record need features; they read them as stored, and no plan repeats their windows."""
+    plan = catalog.registered()["evidence_package"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("stddev_pop") == 0
