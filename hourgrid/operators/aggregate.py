@@ -161,9 +161,12 @@ def recompute_check(activity: DataFrame, hourly: DataFrame, tolerance=1e-6) -> D
 
 
 def grid_sketches(hourly: DataFrame) -> DataFrame:
-    """For each date the grids, counted exactly and as a sketch that merges with those of other dates."""
-    return hourly.groupBy("date").agg(
-        F.count_distinct("grid_id").alias("grids"), F.hll_sketch_agg("grid_id", F.lit(14)).alias("grid_sketch"))
+    """For each date the grids, counted exactly and as a sketch that merges with those of other dates.
+
+    Pairs of date and grid are made distinct first; beside a distinct count each pair would have a sketch of its own.
+    """
+    return hourly.select("date", "grid_id").distinct().groupBy("date").agg(
+        F.count("grid_id").alias("grids"), F.hll_sketch_agg("grid_id", F.lit(14)).alias("grid_sketch"))
 
 
 def grids_up_to(sketches: DataFrame) -> DataFrame:

@@ -317,3 +317,15 @@ def test_warehouse_checks_fail_on_a_lost_row(spark, hourly):
     failed = {r["name"] for r in warehouse.warehouse_checks(source, grids, less).collect() if not r["passed"]}
     assert failed == {"fact_rows_equal_source", "sums_match_source"}
     assert source.filter("sms_count <> 0 OR call_count <> 0").count() == 0  # absent columns are zero
+
+
+def test_grid_sketches_by_distinct_pairs(spark):
+    """Grids of a date count once, null grids not at all; a pair of date and grid has no sketch of its own."""
+    rows = [(f"2024-01-{1 + i % 3:02d}", None if i % 50 == 0 else str(i % 700)) for i in range(4200)]
+    hours = spark.createDataFrame(rows, "date string, grid_id string").withColumn("date", F.to_date("date"))
+    made = aggregate.grid_sketches(hours)
+    got = {str(r["date"]): (r["grids"], r["n"]) for r in made.withColumn("n", F.hll_sketch_estimate("grid_sketch")).collect()}
+    for date in {d for d, _ in rows}:
+        exact = len({g for d, g in rows if d == date and g is not None})
+        assert got[date][0] == exact and got[date][1] == pytest.approx(exact, rel=0.03)
+    assert "DISTINCT" not in made._jdf.queryExecution().optimizedPlan().toString().upper()
