@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from hourgrid import schema as S
 from hourgrid.operators import aggregate, clean, grounding, learning, series
@@ -102,6 +102,29 @@ def test_boosting_runs_few_tasks(spark, monkeypatch):
     assert seen == [(1, 300), (3, 300), (5, 300)]
 
 
+def test_boosting_is_rid_of_the_windows(spark, monkeypatch):
+    """The jobs of boosting start from stored rows, not from the plan behind them, and grow the trees of a plain fit."""
+    spec = W.partitionBy(F.col("id") % 7).orderBy("id").rowsBetween(-3, 0)
+    train = spark.range(400).select(
+        *[F.avg((F.col("id") * (k + 3)) % 17).over(spec).alias(n) for k, n in enumerate(S.MODEL_FEATURES)],
+        (F.col("id") % 17 > 8).cast("int").alias("HIGH_ACTIVITY"))
+    seen = []
+    fit = learning.Pipeline.fit
+
+    def watched(pipeline, df):
+        seen.append((df._jdf.queryExecution().optimizedPlan().toString(), pipeline.getStages()))
+        return fit(pipeline, df)
+
+    monkeypatch.setattr(learning.Pipeline, "fit", watched)
+    model = learning.fit_classifier(train, trees=12, depth=3)
+    plan, stages = seen[0]
+    assert "LogicalRDD" in plan and "Window" not in plan and "InMemoryRelation" not in plan
+    plain = fit(learning.Pipeline(stages=stages), train.select(*S.MODEL_FEATURES, "HIGH_ACTIVITY").cache())
+    assert all(t.numNodes > 1 for t in model.stages[-1].trees)
+    assert [t.toDebugString.split("\n")[1:] for t in model.stages[-1].trees] == [
+        t.toDebugString.split("\n")[1:] for t in plain.stages[-1].trees]
+
+
 def test_model_survives_saving(ws, model, tmp_path):
     model.write().overwrite().save(str(tmp_path / "m"))
     from pyspark.ml import PipelineModel
